@@ -7,8 +7,9 @@
 3. In a group, a signature tree: leaves and inner nodes hold OR-combined bitmaps of shingles and ranges of set sizes. Pairs
    of nodes are traversed together; a pair is dropped when its sizes differ too much, when bitmaps leave too little
    overlap, or when all below has one label already.
-4. Surviving pairs are verified on the whole sets. A first round proposes a spanning forest of each group only; after its
-   links have been merged into labels, a second one proposes all surviving pairs of different labels.
+4. Surviving pairs are verified on the whole sets. A first round proposes a spanning forest of each group only; its links
+   are merged into labels. A second one finds the classes that survive with a class of another label, and with finer
+   bitmaps of these proposes all their surviving pairs of different labels.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ WORDS, PERCENT = 5, 80
 FREQUENT, MOST_FREQUENT = 24, 200_000
 #: Members of a group that one task holds at once; larger groups are split in chunks that meet pairwise.
 CHUNK = 4096
+#: Bits of a bitmap a shingle: few tell texts apart that share a passage only; more are needed near the threshold.
+COARSE, FINE = 2, 16
+#: Rows of smaller groups that are worked on together.
+UNIT = 10_000
 LEAF, FANOUT = 16, 8
 
 
@@ -50,9 +55,9 @@ def prefix(s: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.nd
     return s[:m]
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """A set's bits in a power of two of at least 16 bits a shingle, within 128 and 65536 bits."""
-    bits = 1 << int(min(16, max(7, (16 * len(s) - 1).bit_length())))
+def bitmap(s: np.ndarray, per: int = COARSE) -> np.ndarray:
+    """A set's bits in a power of two of at least `per` bits a shingle, within 128 and 65536 bits."""
+    bits = 1 << int(min(16, max(7, (per * len(s) - 1).bit_length())))
     out = np.zeros(bits // 8, np.uint8)
     at = (s >> U64(20)) & U64(bits - 1)
     np.bitwise_or.at(out, (at >> U64(3)).astype(np.int64), (np.uint8(1) << (at & U64(7)).astype(np.uint8)))
@@ -159,8 +164,64 @@ def group_pairs(ids: np.ndarray, sizes: np.ndarray, bits: list[np.ndarray], labe
     return out
 
 
+def unit_pairs(gid: np.ndarray, ids: np.ndarray, sizes: np.ndarray, bits: list[np.ndarray], labels: np.ndarray, forest: bool, percent: int = PERCENT) -> set[tuple[int, int]]:
+    """What group_pairs gives for each of several groups; trees that are a single leaf are traversed all at once."""
+    order = np.lexsort((ids, sizes, gid))
+    gid, ids, sizes, labels = gid[order], ids[order], sizes[order], labels[order]
+    bits = [bits[k] for k in order]
+    at = np.flatnonzero(np.concatenate(([True], gid[1:] != gid[:-1])))
+    n = np.diff(np.append(at, len(gid)))
+    out: set[tuple[int, int]] = set()
+    for k in np.flatnonzero(n > LEAF).tolist():
+        m = slice(at[k], at[k] + n[k])
+        if (labels[m] != labels[at[k]]).any():
+            out |= group_pairs(ids[m], sizes[m], bits[m], labels[m], forest, None, percent)
+    leaf = np.repeat(n <= LEAF, n)
+    width = np.array([len(b) for b in bits])
+    place = np.zeros(len(bits), np.int64)
+    tables = {}
+    for w in np.unique(width[leaf]).tolist():
+        rows = np.flatnonzero(leaf & (width == w))
+        place[rows] = np.arange(len(rows))
+        tables[w] = np.stack([bits[k] for k in rows])
+    firsts, seconds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, min(LEAF, len(gid))):
+        x = np.flatnonzero(leaf[:-d] & (gid[:-d] == gid[d:]) & (labels[:-d] != labels[d:]) & (sizes[:-d] * 100 >= sizes[d:] * percent))
+        firsts.append(x), seconds.append(x + d)
+    x, y = np.concatenate(firsts), np.concatenate(seconds)
+    keep = np.zeros(len(x), bool)
+    for v, w in {(int(p), int(q)) for p, q in zip(width[x], width[y], strict=True)}:
+        folded = _fold(tables[w], v)
+        full = np.bitwise_count(tables[v]).sum(1), np.bitwise_count(folded).sum(1)
+        pick = np.flatnonzero((width[x] == v) & (width[y] == w))
+        for i in range(0, len(pick), 1 << 14):
+            k = pick[i : i + (1 << 14)]
+            p, q = place[x[k]], place[y[k]]
+            more = np.minimum(sizes[x[k]] - full[0][p], sizes[y[k]] - full[1][q])
+            most = np.bitwise_count(tables[v][p] & folded[q]).sum(1) + more
+            keep[k] = most * (100 + percent) >= (sizes[x[k]] + sizes[y[k]]) * percent
+    root: dict[int, int] = {}
+
+    def find(r: int) -> int:
+        while root.setdefault(r, r) != r:
+            root[r] = root[root[r]]
+            r = root[r]
+        return r
+
+    for i, j in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
+        if forest:  # of all groups of the unit together
+            r, q = find(int(labels[i])), find(int(labels[j]))
+            if r == q:
+                continue
+            root[q] = r
+        p, q = int(ids[i]), int(ids[j])
+        out.add((min(p, q), max(p, q)))
+    return out
+
+
 def _classes(docs: DataFrame, words: int) -> DataFrame:
-    """Rows of kind 0: doc_id, n, sid of every document; of kind 1: shingles frequent in a part of the table, with counts."""
+    """Rows of kind 0: doc_id, n, sid and bitmap of every document; of kind 1: shingles frequent in a part of the table, with
+    counts. Of the copies in a part one has the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -171,24 +232,25 @@ def _classes(docs: DataFrame, words: int) -> DataFrame:
             u, c = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             k = c >= 6
             m = int(k.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(c[k].astype(np.int64)), pa.array(u[k].view(np.int64))], ["kind", "doc_id", "n", "sid"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(c[k].astype(np.int64)), pa.array(u[k].view(np.int64)), pa.nulls(m, pa.binary())], ["kind", "doc_id", "n", "sid", "bits"])
 
         for b in batches:
-            n, sid = [], []
+            n, sid, bits = [], [], []
             for s in shingles(b.column(1), words):
-                n.append(len(s)), sid.append(set_id(s))
-                if sid[-1] not in seen:
+                n.append(len(s)), sid.append(set_id(s)), bits.append(None)
+                if len(s) and sid[-1] not in seen:
                     seen.add(sid[-1])
+                    bits[-1] = bitmap(s).tobytes()
                     parts.append(s)
                     held += len(s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64())], ["kind", "doc_id", "n", "sid"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(bits, pa.binary())], ["kind", "doc_id", "n", "sid", "bits"])
             if held > 6_000_000:
                 yield counted()
                 parts.clear(), seen.clear()
                 held = 0
         yield counted()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "kind int, doc_id long, n long, sid long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "kind int, doc_id long, n long, sid long, bits binary")
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
@@ -264,7 +326,7 @@ def _groups(prefixes: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, words: int, involved: DataFrame) -> DataFrame:
-    """(sid, n, shingles, bits) of the classes in `involved` (sid). A bitset of hashed ids, 8 MB at most, spares the others;
+    """(sid, n, shingles, bits) of the classes in `involved` (sid); the bitmaps are fine ones. A bitset of hashed ids, 8 MB at most, spares the others;
     the join that follows makes it exact."""
     n = involved.count()
     bits = 1 << min(26, max(12, (16 * n).bit_length()))
@@ -284,7 +346,7 @@ def _sets(docs: DataFrame, words: int, involved: DataFrame) -> DataFrame:
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(sid)
-                    rows.append((sid, len(s), s.tobytes(), bitmap(s).tobytes()))
+                    rows.append((sid, len(s), s.tobytes(), bitmap(s, FINE).tobytes()))
                 if len(rows) >= 500:
                     yield batch(rows)
                     rows = []
@@ -299,30 +361,40 @@ def _sets(docs: DataFrame, words: int, involved: DataFrame) -> DataFrame:
     return rows.join(involved, "sid", "left_semi").dropDuplicates(["sid"])
 
 
-def _proposed(groups: DataFrame, sizes: DataFrame, sets: DataFrame, labels: DataFrame | None, forest: bool, percent: int) -> DataFrame:
-    """(a, b), a < b: pairs that survive the traversal of their group's tree. `sizes`: (gid, chunks)."""
-    info = sets.select("sid", "n", "bits")
+def _proposed(groups: DataFrame, info: DataFrame, labels: DataFrame | None, what: str, percent: int) -> DataFrame:
+    """(a, b), a < b: pairs that survive the traversal of their group's tree; of `what`, `pairs`, a `forest` of them, or only
+    their `members` (a = b). `info`: (sid, n, bits)."""
+    forest = what == "forest"
+    sizes = groups.groupBy("gid").agg(F.count("*").alias("members"), F.min("sid").alias("least")).where("members > 1")
+    sizes = sizes.select("gid", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks"), F.when(F.col("members") > LEAF, F.col("gid")).otherwise(F.col("least")).alias("near"))
     info = info.withColumn("label", F.col("sid")) if labels is None else info.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     x = groups.join(sizes, "gid")
     own = F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int")
-    # chunk i meets chunk j in unit (min, max); with one chunk, unit (0, 0)
+    # chunk i meets chunk j in unit (gid, i, j); groups of one chunk share units
+    units = max(1, groups.count() // UNIT)
     x = x.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    x = x.select("gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid").join(info, "sid")
+    # small groups with the same smallest member tend to hold the same pairs, which then are made once
+    unit = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("near"), F.lit(units))).otherwise(F.col("gid"))
+    x = x.select("gid", unit.alias("unit"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "chunks", "sid").join(info, "sid")
 
     def run(t: pa.Table) -> pa.Table:
-        ids, n, labels, own = (t[c].to_numpy() for c in ("sid", "n", "label", "own"))
+        gid, ids, n, labels, own = (t[c].to_numpy() for c in ("gid", "sid", "n", "label", "own"))
         bits = [np.frombuffer(x, np.uint64) for x in t["bits"].to_pylist()]
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        pairs = group_pairs(ids, n, bits, labels, forest, None if i == j else (own == j).astype(np.int8), percent) if len(np.unique(labels)) > 1 else set()
+        if t["chunks"][0].as_py() > 1:
+            pairs = group_pairs(ids, n, bits, labels, forest, None if i == j else (own == j).astype(np.int8), percent) if len(np.unique(labels)) > 1 else set()
+        else:
+            pairs = unit_pairs(gid, ids, n, bits, labels, forest, percent)
+        if what == "members":
+            pairs = {(x, x) for p in pairs for x in p}
         a, b = zip(*sorted(pairs), strict=True) if pairs else ((), ())
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return x.groupBy("gid", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return x.groupBy("chunks", "unit", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets are similar enough."""
-    s = sets.select("sid", "shingles")
+def _verified(pairs: DataFrame, s: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets (sid, shingles) are similar enough."""
     x = pairs.join(s.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a").join(s.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +423,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     often = first.where("kind = 1").groupBy("sid").agg(F.sum("n").alias("c")).where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "sid").limit(MOST_FREQUENT)
     frequent = spark.sparkContext.broadcast(np.sort(often.select("sid").toArrow()["sid"].to_numpy().view(np.uint64)))  # 1.6 MB at most
     groups = saved(_groups(_prefixes(docs, words, percent, frequent)))
-    links = _links(docs, groups, words, percent)
+    links = _links(docs, first, groups, words, percent)
     if links is None:
         label = rows.select("sid").where("false").select(F.col("sid").alias("node"), F.col("sid").alias("label"))
     else:
@@ -363,13 +435,20 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     return some.unionByName(out.where(lone).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _links(docs: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame | None:
+def _links(docs: DataFrame, first: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame | None:
     if groups.isEmpty():
         return None
-    sizes = saved(groups.groupBy("gid").agg(F.count("*").alias("members")).select("gid", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks")))
-    sets = saved(_sets(docs, words, groups.select("sid").distinct()))
-    tried = saved(_proposed(groups, sizes, sets, None, True, percent))
-    links = saved(_verified(tried, sets, percent))
+    info = first.where("kind = 0 and bits is not null").select("sid", "n", "bits")
+    info = saved(info.join(groups.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]))
+    tried = saved(_proposed(groups, info, None, "forest", percent))
+    if tried.isEmpty():
+        return None
+    sets = _sets(docs, words, saved(tried.select(F.explode(F.array("a", "b")).alias("sid")).distinct()))
+    links = saved(_verified(tried, saved(sets), percent))
     labels = components(links)
-    rest = _proposed(groups, sizes, sets, labels, False, percent).join(tried, ["a", "b"], "left_anti")
-    return links.unionByName(_verified(rest, sets, percent))
+    left = saved(_proposed(groups, info, labels, "members", percent).select(F.col("a").alias("sid")))
+    if left.isEmpty():
+        return links
+    sets = saved(_sets(docs, words, left))
+    rest = _proposed(saved(groups.join(left, "sid", "left_semi")), sets.select("sid", "n", "bits"), labels, "pairs", percent)
+    return links.unionByName(_verified(rest.join(tried, ["a", "b"], "left_anti"), sets, percent))
