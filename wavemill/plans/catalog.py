@@ -1,13 +1,322 @@
+"""Queries over the driver tables and their DuckDB counterparts.
+
+Signals: `ev`: channels are event types, samples their values in the order of event_id (fs 100); `users`: channels are users, for
+recurrences; `all`: one channel of all events (event_id is the rank by time). Results are rounded alike on both sides.
+"""
+
 from __future__ import annotations
 
+import math
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fir_design as fd
+from ..functions import iir_design as idn
+from ..functions.windows import window
+from ..operators import algebra, coupling, filters, shape, spectra
+from ..operators.pipeline import Pipeline
+from ..operators.signal import Signal, from_chunks, from_rows
+from ..sources import annotations as ann
+from ..streaming import stateful
+
+FS = 100.0
+
+
+def events(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet")
+
+
+def ev(spark, d) -> Signal:
+    return from_rows(events(spark, d).select(F.col("event_type").alias("ch"), "event_id", "value"), "ch", "event_id", "value", FS)
+
+
+def users(spark, d) -> Signal:
+    return from_rows(events(spark, d).select(F.col("user_id").alias("ch"), "event_id", "value"), "ch", "event_id", "value", FS)
+
+
+def whole(spark, d) -> Signal:
+    x = events(spark, d).select(F.lit(0).alias("ch"), "event_id", "value")
+    first = x.agg(F.min("event_id")).first()[0]
+    return Signal(x.select("ch", (F.col("event_id") - first).alias("idx"), F.col("value").cast("double").alias("value")), ("ch",), FS)
+
+
+def emb(spark, d) -> Signal:
+    x = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("ch"), F.lit(0).cast("long").alias("start"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    return from_chunks(x, ("ch",), FS)
+
+
+def notes(spark, d) -> DataFrame:
+    x = events(spark, d)
+    first = x.agg(F.min("event_id")).first()[0]
+    t = (F.col("event_id") - first).cast("double")
+    return x.where("event_type = 'signup' and event_id % 50 = 0").select(F.col("event_type").alias("label"), (t / FS).alias("time"), F.lit(0.5).alias("duration"), F.lit("ALL").alias("channel"))
+
+
+EV = "ev as (select event_type as ch, row_number() over (partition by event_type order by event_id) - 1 as idx, value::double as value from events)"
+US = "ev as (select user_id as ch, row_number() over (partition by user_id order by event_id) - 1 as idx, value::double as value from events)"
+ALL = "ev as (select 0 as ch, event_id - (select min(event_id) from events) as idx, value::double as value from events)"
+EMB = "ev as (select vec_id as ch, unnest(range(0, len(embedding))) as idx, unnest(embedding)::double as value from embeddings)"
+LEN = "len as (select ch, max(idx) + 1 as n from ev group by ch)"
+
+_Q: dict[str, tuple] = {}
+
+
+def query(name: str, sql: str | None):
+    def keep(fn):
+        _Q[name] = fn, sql
+        return fn
+
+    return keep
+
+
+def _r(c: str = "value", digits: int = 4):
+    return (F.round(c, digits) + 0.0).alias(c)
+
+
+def long(sig: Signal, digits: int = 4) -> DataFrame:
+    return sig.df.select("ch", F.col("idx").cast("long").alias("idx"), _r("value", digits))
+
+
+def sql_long(ctes: str, body: str, digits: int = 4) -> str:
+    return f"with {ctes} select ch, idx::bigint as idx, round(value, {digits}) + 0.0 as value from ({body})"
+
+
+def rows(values) -> str:
+    return ", ".join(f"({k}, {float(v)!r}::double)" for k, v in enumerate(values))
+
+
+# selection, masks, shapes
+
+for _name, _args in {"range_slice": (10, 60, 1), "strided_slice": (5, 95, 7)}.items():
+    query(_name, sql_long(EV, f"select ch, (idx - {_args[0]}) // {_args[2]} as idx, value from ev where idx >= {_args[0]} and idx < {_args[1]} and (idx - {_args[0]}) % {_args[2]} = 0"))(lambda s, d, a=_args: long(shape.take_slice(ev(s, d), *a)))
+
+query("signal_index", sql_long(EV, "select * from ev"))(lambda s, d: long(ev(s, d)))
+query("negative_slice", sql_long(f"{EV}, {LEN}", "select ch, n - 1 - idx as idx, value from ev join len using (ch) where n - 1 - idx < 20"))(lambda s, d: long(shape.take_slice(ev(s, d), None, -21, -1)))
+query("channel_project", sql_long(EV, "select * from ev where ch in ('click', 'purchase', 'signup')"))(lambda s, d: long(shape.channels(ev(s, d), ["click", "purchase", "signup"])))
+query("reverse", sql_long(f"{EV}, {LEN}", "select ch, n - 1 - idx as idx, value from ev join len using (ch)"))(lambda s, d: long(shape.reverse(ev(s, d))))
+query("ordered_union", sql_long(f"{EV}, {LEN}", "select * from ev union all select ch, n + idx, value from ev join len using (ch) where idx < 30"))(lambda s, d: long(shape.concatenate([ev(s, d), shape.take_slice(ev(s, d), 0, 30)])))
+query("split", sql_long(EV, "select ch, idx - 40 as idx, value from ev where idx >= 40"))(lambda s, d: long(shape.split(ev(s, d), 40)[1]))
+query("chunked_layout", f"with {EV} select ch, (idx // 64)::bigint as chunk, min(idx)::bigint as start, count(*)::int as n, round(sum(value), 4) as total from ev group by ch, idx // 64")(lambda s, d: ev(s, d).chunked(64).select("ch", "chunk", "start", "n", F.round(F.aggregate("x", F.lit(0.0), lambda a, b: a + b), 4).alias("total")))
+query("array_layout", sql_long(EMB, "select * from ev"))(lambda s, d: long(emb(s, d)))
+
+NOTES = f"{ALL}, notes as (select (event_id - (select min(event_id) from events)) / 100.0 as t, 0.5 as dur from events where event_type = 'signup' and event_id % 50 = 0), hit as (select distinct idx from ev join notes on idx >= round_even(t * 100, 0) and idx < round_even((t + dur) * 100, 0))"
+query("annotation_mask_include", sql_long(NOTES, "select ch, row_number() over (order by idx) - 1 as idx, value from ev where idx in (select idx from hit)"))(lambda s, d: long(shape.mask_by_annotations(whole(s, d), notes(s, d))))
+query("annotation_mask_exclude", sql_long(NOTES, "select ch, row_number() over (order by idx) - 1 as idx, value from ev where idx not in (select idx from hit)"))(lambda s, d: long(shape.mask_by_annotations(whole(s, d), notes(s, d), False)))
+query("annotation_mask_dense", f"with {NOTES} select idx::bigint as idx, idx in (select idx from hit) as keep from (select unnest(range(0, 400)) as idx)")(lambda s, d: shape.as_mask(s, notes(s, d), 400, FS))
+query("index_set_mask", "select r as idx, (r < 50 and r % 3 = 0) or r in (77, 80, 81) as keep from (select unnest(range(0, 100)) as r)")(lambda s, d: shape.index_mask(s, 100, [slice(0, 50, 3), [77, 80, 81]]))
+query("mask_filter_reindex", sql_long(EV, "select ch, row_number() over (partition by ch order by idx) - 1 as idx, value from ev where idx < 90 and idx % 3 = 0"))(lambda s, d: long(shape.apply_mask(ev(s, d), shape.index_mask(s, 90, slice(0, 90, 3)))))
+query("count_true", "select count(*)::bigint as n_true from (select unnest(range(0, 100)) as r) where r % 7 = 2")(lambda s, d: algebra.count_true(shape.index_mask(s, 100, slice(2, None, 7))))
+query("pad_const", sql_long(f"{EV}, {LEN}", "select ch, idx + 3 as idx, value from ev union all select ch, i, 1.5 from len, (select unnest([0, 1, 2]) as i) union all select ch, n + 3 + i, 1.5 from len, (select unnest([0, 1]) as i)"))(lambda s, d: long(shape.pad(ev(s, d), (3, 2), 1.5)))
+
+_FIRST = f"{EV}, {LEN}, e as (select ch, n, min_by(value, idx) as f, max_by(value, idx) as l from ev join len using (ch) group by ch, n)"
+query("edge_extend", sql_long(_FIRST, "select ch, idx + 4 as idx, value from ev union all select ch, i, f from e, (select unnest(range(0, 4)) as i) union all select ch, n + 4 + i, l from e, (select unnest(range(0, 4)) as i)"))(lambda s, d: long(shape.extend(ev(s, d), 4, "edge")))
+for _how, (_a, _b) in {"even": ("value", "value"), "odd": ("2 * f - value", "2 * l - value")}.items():
+    query(f"{_how}_extend", sql_long(_FIRST, f"select ch, idx + 5 as idx, value from ev union all select ch, 5 - idx, {_a} from ev join e using (ch) where idx between 1 and 5 union all select ch, 2 * (n - 1) - idx + 5, {_b} from ev join e using (ch) where idx between n - 6 and n - 2"))(lambda s, d, h=_how: long(shape.extend(ev(s, d), 5, h)))
+query("zero_extend", sql_long(f"{EV}, {LEN}", "select ch, idx + 2 as idx, value from ev union all select ch, i, 0.0 from len, (select unnest([0, 1]) as i) union all select ch, n + 2 + i, 0.0 from len, (select unnest([0, 1]) as i)"))(lambda s, d: long(shape.extend(ev(s, d), 2, "zero")))
+query("zero_stuff", sql_long(EV, "select ch, idx * 3 + i as idx, case when i = 0 then value else 0 end as value from ev, (select unnest([0, 1, 2]) as i)"))(lambda s, d: long(shape.zero_stuff(ev(s, d), 3)))
+query("expand_squeeze", sql_long(EV, "select * from ev"))(lambda s, d: long(shape.squeeze(shape.expand_dims(ev(s, d), "rec"), "rec")))
+
+# algebra and statistics
+
+query("add_scalar", sql_long(EV, "select ch, idx, value + 2.5 as value from ev"))(lambda s, d: long(algebra.add(ev(s, d), 2.5)))
+query("add_signals", sql_long(f"{EV}, {LEN}", "select a.ch, a.idx, a.value + b.value as value from ev a join len using (ch) join ev b on b.ch = a.ch and b.idx = n - 1 - a.idx"))(lambda s, d: long(algebra.add(ev(s, d), shape.reverse(ev(s, d)))))
+query("multiply_signals", sql_long(EV, "select ch, idx, value * value as value from ev", 2))(lambda s, d: long(algebra.multiply(ev(s, d), ev(s, d)), 2))
+query("complex_multiply", f"with {EV} select ch, idx::bigint as idx, round(value * 1.5, 4) + 0.0 as re, round(value * 9, 4) + 0.0 as im from ev")(lambda s, d: algebra.multiply(ev(s, d), 3 * (0.5 + 3j)).df.select("ch", "idx", _r("re"), _r("im")))
+query("multiply_along_axis", sql_long(EMB, "select ch, idx, value * (idx + 1) as value from ev"))(lambda s, d: long(algebra.multiply_along(emb(s, d), range(1, 65))))
+query("mean_time", f"with {EV} select ch, round(avg(value), 4) as mean from ev group by ch")(lambda s, d: algebra.mean(ev(s, d)).select("ch", _r("mean")))
+query("mean_channel", f"with {EMB} select idx::bigint as idx, round(avg(value), 4) + 0.0 as mean from ev group by idx")(lambda s, d: algebra.mean(emb(s, d), over="ch").select(F.col("idx").cast("long").alias("idx"), _r("mean")))
+query("std_pop", f"with {EV} select ch, round(stddev_pop(value), 4) as std from ev group by ch")(lambda s, d: algebra.std(ev(s, d)).select("ch", _r("std")))
+query("standardize", sql_long(EV, "select ch, idx, (value - avg(value) over (partition by ch)) / stddev_pop(value) over (partition by ch) as value from ev"))(lambda s, d: long(algebra.standardize(ev(s, d))))
+query("nearest_index", f"with {ALL} select arg_min(idx, (abs(value - 50.0), idx))::bigint as idx from ev")(lambda s, d: algebra.nearest(whole(s, d).df, "value", 50.0))
+query("extrema", f"with {EV} select ch, min(value) as low, max(value) as high from ev group by ch")(lambda s, d: algebra.extrema(ev(s, d)))
+
+# FIR filters: the taps are literals in the oracle
+
+
+def fir_sql(taps, mode="same") -> str:
+    w = len(taps)
+    shift = {"full": 0, "same": (w - 1) // 2, "valid": w - 1}[mode]
+    cut = {"full": "true", "same": "y.idx >= 0 and y.idx < n", "valid": f"y.idx >= 0 and y.idx <= n - {w}"}[mode]
+    return sql_long(f"{EV}, {LEN}, taps(k, h) as (values {rows(taps)}), y as (select ch, idx + k - {shift} as idx, sum(value * h) as value from ev, taps group by ch, idx + k - {shift})", f"select y.ch, y.idx, y.value from y join len using (ch) where {cut}", 3)
+
+
+SHORT = np.array([0.103717213, -0.251923711, 0.503192713, 0.754719317, -0.301931179])
+for _mode in ("full", "same", "valid"):
+    query(f"fir_{_mode}", fir_sql(SHORT, _mode))(lambda s, d, m=_mode: long(filters.convolve(ev(s, d), SHORT, m), 3))
+DESIGNS = {
+    "fir_kaiser_lowpass": lambda: fd.kaiser(10, 16, FS),
+    "fir_kaiser_bandpass": lambda: fd.kaiser((10, 20), (4, 26), FS),
+    "fir_rect": lambda: fd.rectangular(10, 16, FS),
+    "fir_bartlett": lambda: fd.bartlett(10, 20, FS),
+    "fir_hann": lambda: fd.hann(20, 10, FS),
+    "fir_hamming": lambda: fd.hamming((15, 25), (5, 35), FS),
+    "fir_blackman": lambda: fd.blackman((5, 35), (15, 25), FS),
+    "fir_remez": lambda: fd.remez([0, 10, 16, 50], [1, 0], FS),
+    "hilbert_imag": lambda: fd.hilbert(8, FS),
+}
+for _name, _make in DESIGNS.items():
+    query(_name, fir_sql(_make().coeffs))(lambda s, d, f=_make: long(filters.fir(ev(s, d), f()), 3))
+
+_H = fd.hilbert(8, FS).coeffs
+_Z = f"{EV}, {LEN}, taps(k, h) as (values {rows(_H)}), y as (select ch, idx + k - {len(_H) // 2} as idx, sum(value * h) as im from ev, taps group by 1, 2), z as (select ev.ch, ev.idx, value as re, im from ev join y using (ch, idx))"
+query("analytic_amplitude", sql_long(_Z, "select ch, idx, sqrt(re * re + im * im) as value from z", 3))(lambda s, d: long(filters.amplitude(filters.analytic(ev(s, d), 8)), 3))
+query("analytic_phase", sql_long(_Z, "select ch, idx, case when atan2(im, re) < 0 then atan2(im, re) + 2 * pi() else atan2(im, re) end as value from z"))(lambda s, d: long(filters.phase(filters.analytic(ev(s, d), 8))))
+
+# IIR filters: recursive oracles by sample
+
+
+def iir_sql(sos, both=False) -> str:
+    """A cascade by recursion over the samples, the state in transposed direct form II; zero-phase with steady-state starts."""
+    parts, src = [US, LEN.replace("len as", "len as")], "ev"
+    zi = idn.steady_state(sos).tolist() if both else [[0.0, 0.0]] * len(sos)
+    for turn in range(2 if both else 1):
+        parts.append(f"x{turn} as (select ch, " + ("idx" if not turn else "n - 1 - idx as idx") + f", value from {src}" + (" join len using (ch)" if turn else "") + ")")
+        src = f"x{turn}"
+        head, cols, step, prev = [], [], [], "x.value"
+        first = "x.value"
+        for k, (b0, b1, b2, _, a1, a2) in enumerate(np.asarray(sos).tolist()):
+            z1, z2 = (f"({zi[k][i]!r}::double * {first})" for i in (0, 1))
+            y0 = f"({b0!r}::double * {{p}} + {z1})"
+            head.append((y0, z1, z2, b1, b2, a1, a2))
+            cols += [f"p{k}", f"q{k}"]
+            step.append((b0, b1, b2, a1, a2))
+        p, init = first, []
+        for y0, z1, z2, b1, b2, a1, a2 in head:
+            y = y0.format(p=p)
+            init += [f"{b1!r} * {p} - {a1!r} * {y} + {z2}", f"{b2!r} * {p} - {a2!r} * {y}"]
+            p = y
+        start = f"select ch, idx, {p} as y, " + ", ".join(f"{e} as {c}" for e, c in zip(init, cols, strict=True)) + f" from {src} x where idx = 0"
+        p, upd = prev, []
+        for k, (b0, b1, b2, a1, a2) in enumerate(step):
+            y = f"({b0!r}::double * {p} + r.p{k})"
+            upd += [f"{b1!r} * {p} - {a1!r} * {y} + r.q{k}", f"{b2!r} * {p} - {a2!r} * {y}"]
+            p = y
+        parts.append(f"r{turn}(ch, idx, y, {', '.join(cols)}) as ({start} union all select x.ch, x.idx, {p}, {', '.join(upd)} from r{turn} r join {src} x on x.ch = r.ch and x.idx = r.idx + 1)")
+        parts.append(f"o{turn} as (select ch, idx, y as value from r{turn})")
+        src = f"o{turn}"
+    body = f"select ch, idx, value from {src}" if not both else f"select ch, n - 1 - idx as idx, value from {src} join len using (ch)"
+    return sql_long(", ".join(parts), body, 3).replace("with ", "with recursive ", 1)
+
+
+IIRS = {"notch": lambda: idn.notch(20, 4, FS), "butter": lambda: idn.butter(20, 35, FS, 1, 15), "cheby1": lambda: idn.cheby1(20, 35, FS, 1, 20), "cheby2": lambda: idn.cheby2(20, 35, FS, 1, 20), "ellip": lambda: idn.ellip(20, 30, FS, 1, 20)}
+for _name, _make in IIRS.items():
+    _sos = _make().sos
+    query(f"{_name}_forward", iir_sql(_sos))(lambda s, d, f=_make: long(filters.iir(users(s, d), f(), dephase=False), 3))
+    if len(_sos) < 3:
+        query(f"{_name}_zero_phase", iir_sql(_sos, True))(lambda s, d, f=_make: long(filters.iir(users(s, d), f()), 3))
+
+# resampling
+
+
+def resample_sql(up, down) -> str:
+    cut = FS / (2 * max(up, down))
+    h = fd.kaiser(0.9 * cut, 1.1 * cut, FS, 0.1, 40).coeffs
+    half = (len(h) - 1) // 2
+    return sql_long(f"{EV}, {LEN}, taps(k, h) as (values {rows(h)})", f"select ch, (idx * {up} + k - {half}) // {down} as idx, sum(value * h) * {up} as value from ev join len using (ch), taps where idx * {up} + k >= {half} and (idx * {up} + k - {half}) % {down} = 0 and (idx * {up} + k - {half}) < n * {up} group by 1, 2", 3)
+
+
+for _name, _f in {"downsample": (1, 4), "upsample": (3, 1), "resample_rational": (3, 5)}.items():
+    query(_name, resample_sql(*_f))(lambda s, d, f=_f: long(filters.resample(ev(s, d), *f), 3))
+
+# spectra
+
+
+def segments_sql(nfft, overlap, win="hann", detrend="constant", scaling="density", source=EV, pad=0) -> str:
+    """Tables w, seg (ch, seg, j, v: tapered) and f (ch, seg, k, re, im), scaled."""
+    stride = nfft - int(nfft * overlap)
+    w = window(win, nfft)
+    norm = 1 / (FS * (w @ w)) if scaling == "density" else 1 / w.sum() ** 2
+    flat = "v - avg(v) over s" if detrend == "constant" else "v - (regr_intercept(v, j) over s + regr_slope(v, j) over s * j)"
+    return f"""{source}, {LEN}, w(j, w) as (values {rows(w)}),
+raw as (select ch, s as seg, j, coalesce(ev.value, 0) as v, w from (select ch, n, unnest(range(0, (n + {2 * pad} - {nfft}) // {stride} + 1)) as s from len where n + {2 * pad} >= {nfft}) x cross join w left join ev using (ch) where ev.idx = s * {stride} + j - {pad}),
+seg as (select ch, seg, j, ({flat}) * w as v from raw window s as (partition by ch, seg)),
+f as (select ch, seg, k, {math.sqrt(norm)!r} * sum(v * cos(2 * pi() * k * j / {nfft})) as re, -{math.sqrt(norm)!r} * sum(v * sin(2 * pi() * k * j / {nfft})) as im from seg, (select unnest(range(0, {nfft // 2 + 1})) as k) group by ch, seg, k),
+p as (select ch, seg, k, (re * re + im * im) * case when k = 0 or 2 * k = {nfft} then 1 else 2 end as p from f)"""
+
+
+def psd_sql(nfft, overlap=0.5, digits=3, **kw) -> str:
+    return f"with {segments_sql(nfft, overlap, **kw)} select ch, k::int as k, k * {FS / nfft!r}::double as freq, round(avg(p), {digits}) + 0.0 as psd, count(*)::bigint as n_segments from p group by ch, k"
+
+
+def _psd(x: DataFrame, digits=3) -> DataFrame:
+    return x.select("ch", "k", "freq", _r("psd", digits), "n_segments")
+
+
+query("welch_psd", psd_sql(64))(lambda s, d: _psd(spectra.psd(ev(s, d), nfft=64)))
+query("welch_linear_detrend", psd_sql(32, detrend="linear"))(lambda s, d: _psd(spectra.psd(ev(s, d), nfft=32, detrend="linear")))
+query("psd_spectrum_scaling", psd_sql(50, 0.3, scaling="spectrum", win="blackman"))(lambda s, d: _psd(spectra.psd(ev(s, d), nfft=50, overlap=0.3, scaling="spectrum", win="blackman")))
+query("periodogram", f"with {segments_sql(32, 0.5)} select ch, seg::bigint as seg, k::int as k, k * {FS / 32!r}::double as freq, round(p, 3) + 0.0 as p from p")(lambda s, d: spectra.periodograms(ev(s, d), 32).select("ch", "seg", "k", "freq", _r("p", 3)))
+_STFT = segments_sql(32, 0.5)
+query("stft", f"with {_STFT} select ch, seg::bigint as seg, (16 + seg * 16) / 100.0::double as t, k::int as k, k * {FS / 32!r}::double as freq, round(re, 3) + 0.0 as re, round(im, 3) + 0.0 as im from f")(lambda s, d: spectra.stft(ev(s, d), nfft=32, boundary=False, padded=False).select("ch", "seg", "t", "k", "freq", _r("re", 3), _r("im", 3)))
+query("spectrogram_db", f"with {_STFT} select ch, seg::bigint as seg, k::int as k, round(10 * log10(re * re + im * im + 1), 4) + 0.0 as db from f")(lambda s, d: spectra.spectrogram_db(spectra.stft(ev(s, d), nfft=32, boundary=False, padded=False)).select("ch", "seg", "k", _r("db")))
+_W = spectra.simpson_weights(14) * (FS / 64)  # bins 3 .. 16
+_BAND = f"{segments_sql(64, 0.5)}, psd as (select ch, k, avg(p) as psd from p group by ch, k), bw(i, bw) as (values {rows(_W)}), pw as (select ch, sum(psd * bw) as power from psd join bw on k = i + 3 group by ch)"
+query("band_power_simpson", f"with {_BAND} select ch, round(power, 3) as power from pw")(lambda s, d: spectra.power(spectra.psd(ev(s, d), nfft=64), ["ch"], 5, 25).select("ch", _r("power", 3)))
+query("power_norm", f"with {_BAND} select ch, k::int as k, round(psd / power, 6) + 0.0 as psd from psd join pw using (ch)")(lambda s, d: spectra.power_norm(spectra.psd(ev(s, d), nfft=64), ["ch"], 5, 25).select("ch", "k", _r("psd", 6)))
+query("psd_confidence_interval", f"with {_BAND} select ch, k::int as k, round(psd * 10 / 20.483177350807388, 3) + 0.0 as ci_low, round(psd * 10 / 3.2469727802368404, 3) + 0.0 as ci_high from psd")(lambda s, d: spectra.confidence_interval(spectra.psd(ev(s, d), nfft=64), 10).select("ch", "k", _r("ci_low", 3), _r("ci_high", 3)))
+
+# coupling
+
+
+def _spikes(s, d, below=60):
+    return shape.channels(ev(s, d), ["click"]).df.where(f"idx % 37 = 5 and idx < {below * 1000}").select("ch", "idx")
+
+
+query("phase_event_index", f"with {_Z} select ch, idx::bigint as idx from z where case when atan2(im, re) < 0 then atan2(im, re) + 2 * pi() else atan2(im, re) end between 1.2 and 1.6")(lambda s, d: filters.phase(filters.analytic(ev(s, d), 8)).df.where("value between 1.2 and 1.6").select("ch", F.col("idx").cast("long").alias("idx")))
+query("phase_locked_power", f"with {EV}, {LEN}, e as (select ch, idx from ev join len using (ch) where ch = 'click' and idx % 37 = 5 and idx >= 8 and idx + 8 <= n) select ev.ch, o::bigint as \"offset\", round(avg(value * value), 3) as power from e, (select unnest(range(-8, 8)) as o) join ev on ev.ch = e.ch and ev.idx = e.idx + o group by ev.ch, o")(lambda s, d: coupling.locked_power(ev(s, d), _spikes(s, d), 16).select("ch", F.col("offset").cast("long").alias("offset"), _r("power", 3)))
+_SHIFTS = np.random.default_rng(3).integers(0, 100, 5)
+query("surrogate_shifts", f"with {EV}, sh(surrogate, s) as (values {', '.join(f'({i}, {s})' for i, s in enumerate(_SHIFTS))}) select ch, surrogate::int as surrogate, ((idx + s) % 100)::bigint as idx from ev, sh where ch = 'click' and idx % 37 = 5")(lambda s, d: coupling.shuffled(_spikes(s, d), 5, 100, 3).select("ch", "surrogate", F.col("idx").cast("long").alias("idx")))
+query("fdr_bh", "with t as (select event_type as g, event_id, (value - floor(value)) as p from events), r as (select *, count(*) over (partition by g) as m, count(*) over (partition by g order by p range between unbounded preceding and current row) as k from t) select g, event_id, round(least(1.0, min(p * m / k) over (partition by g order by p desc range between unbounded preceding and current row)), 6) + 0.0 as adjusted from r")(lambda s, d: coupling.fdr(events(s, d).select(F.col("event_type").alias("g"), "event_id", (F.col("value") - F.floor("value")).alias("pvalue")), ["g"]).select("g", "event_id", _r("adjusted", 6)))
+
+# file names, windows on event time
+
+
+def _pages(s, d):
+    return s.read.parquet(f"{d}/pages.parquet").select(F.col("url").alias("path"))
+
+
+query("regex_metadata", "select url as path, nullif(regexp_extract(url, '://([^/]+)', 1), '') as host, nullif(regexp_extract(url, '([0-9]+)', 1), '') as number from pages")(lambda s, d: ann.metadata(_pages(s, d), "path", host="://([^/]+)", number="([0-9]+)").select("path", F.col("metadata")["host"].alias("host"), F.col("metadata")["number"].alias("number")))
+query("stem_symmetric_difference", "with t as (select regexp_extract(url, '([^/]+?)(\\.[^./]*)?$', 1) as stem, url from pages), a as (select distinct stem from t where contains(url, '1')), b as (select distinct stem from t where contains(url, '2')) select * from (select * from a except select * from b) union all select * from (select * from b except select * from a)")(lambda s, d: ann.mismatched(_pages(s, d).where(F.contains("path", F.lit("1"))), _pages(s, d).where(F.contains("path", F.lit("2")))))
+query("rename_plan", "select url as path, replace(url, 'http', 'file') as renamed from pages where contains(url, 'http')")(lambda s, d: ann.rename_plan(_pages(s, d), "http", "file"))
+query("regex_match_join", "select 'rec_' || r || '_base.edf' as path, 'note_' || r || '.txt' as other from (select lpad(n_nationkey::varchar, 3, '0') as r from nation)")(lambda s, d: ann.match(*(s.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit(a), F.lpad(F.col("n_nationkey").cast("string"), 3, "0"), F.lit(b)).alias("path")) for a, b in (("rec_", "_base.edf"), ("note_", ".txt"))), r"\d{3}"))
+
+
+def _stamps(x: DataFrame) -> DataFrame:
+    return x.select(*[F.unix_micros(c).alias(c) if c in ("start", "stop") else (_r(c, 3) if c == "total" else F.col(c)) for c in x.columns])
+
+
+query("tumbling_window", "select epoch_us(date_trunc('day', ts)) as start, epoch_us(date_trunc('day', ts)) + 86400000000 as stop, event_type, count(*)::bigint as n, round(sum(value), 3) + 0.0 as total from events group by date_trunc('day', ts), event_type")(lambda s, d: _stamps(stateful.event_windows(events(s, d), "1 day")))
+query("sliding_window", "with w as (select epoch_us(date_trunc('day', ts)) - o * 86400000000 as start, event_type, value from events, (select unnest([0, 1]) as o)) select start::bigint as start, (start + 2 * 86400000000)::bigint as stop, event_type, count(*)::bigint as n, round(sum(value), 3) + 0.0 as total from w group by start, event_type")(lambda s, d: _stamps(stateful.event_windows(events(s, d), "2 days", "1 day")))
+query("session_window", "with a as (select user_id, epoch_us(ts) as t, value, lag(epoch_us(ts)) over (partition by user_id order by ts) as b from events), g as (select *, sum(case when b is null or t - b >= 21600000000 then 1 else 0 end) over (partition by user_id order by t) as g from a) select min(t)::bigint as start, (max(t) + 21600000000)::bigint as stop, user_id, count(*)::bigint as n, round(sum(value), 3) + 0.0 as total from g group by user_id, g")(lambda s, d: _stamps(stateful.event_sessions(events(s, d), "6 hours")))
+
+
+@query("pipeline_filter_psd", f"with {segments_sql(64, 0.5, source=EV.replace('ev as', 'src as') + f', taps(k, h) as (values {rows(fd.kaiser((10, 20), (4, 26), FS).coeffs)}), ev as (select y.ch, y.idx, y.value from (select ch, idx + k - {fd.kaiser((10, 20), (4, 26), FS).delay} as idx, sum(value * h) as value from src, taps group by 1, 2) y semi join src using (ch, idx))')} select ch, k::int as k, k * {FS / 64!r}::double as freq, round(avg(p), 3) + 0.0 as psd, count(*)::bigint as n_segments from p group by ch, k")
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Band-pass filtered event channels and their Welch spectra."""
+    steps = Pipeline().append(filters.fir, f=fd.kaiser((10, 20), (4, 26), FS)).append(spectra.psd, nfft=64)
+    return _psd(steps(ev(spark, sf_dir)))
+
+
+@query("edf_roundtrip", None)
+def edf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first whole records of every event channel, written as a recording and read back."""
+    from ..sources import edf
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").avg("value")
+    x = ev(spark, sf_dir)
+    least = x.lengths().agg(F.min("n"), F.count("*")).first()
+    n, k = max(1, least[0] // 32), least[1]
+    values = {"version": "0", "patient": "x", "recording": "events", "start_date": "01.01.24", "start_time": "00.00.00", "header_bytes": 256 * (k + 1), "reserved_0": "", "num_records": n, "record_duration": 32 / FS, "num_signals": k, "names": [f"ch{i}" for i in range(k)], "transducers": [""] * k, "physical_dim": [""] * k, "physical_min": [-10000.0] * k, "physical_max": [10000.0] * k, "digital_min": [-32768.0] * k, "digital_max": [32767.0] * k, "prefiltering": [""] * k, "samples_per_record": [32] * k, "reserved_1": [""] * k}
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp"
+    path = f"{folder}/events-{abs(hash((sf_dir, n, k)))}.edf"
+    edf.write(shape.take_slice(x, 0, 32 * n), edf.Header.from_dict(values), path)
+    return edf.read(spark, path).df.select("ch", "idx", _r("value", 2))
 
 
-def queries():
-    return {}
+def queries() -> dict:
+    return {k: f for k, (f, _) in _Q.items()}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {k: sql for k, (_, sql) in _Q.items() if sql}
