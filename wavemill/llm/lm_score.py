@@ -170,31 +170,34 @@ def score_documents(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, v
                 key += j - i
 
     def join_counts(t: pa.Table) -> pa.Table:
-        """A part: its count table joined to its occurrences, logarithms summed by document; and the rows of pieces."""
-        keys, ids, xs, ys = t["key"].to_pylist(), t["ids"].to_pylist(), t["x"].to_pylist(), t["y"].to_pylist()
-        out_key, out_id, out_n, out_s = [np.zeros(0, np.int64)], [], [], [np.zeros(0)]
-        grams = [np.frombuffer(x, np.uint32) for x, i in zip(xs, ids, strict=True) if i is None]
+        """A part: its count table joined to its occurrences, logarithms summed by document; a row for each piece of texts
+        (places and sums). The pieces' own rows pass through."""
+        own = [i is not None for i in t["ids"].to_pylist()]
+        xs, ys = t["x"].to_pylist(), t["y"].to_pylist()
+        grams = [np.frombuffer(x, np.uint32) for x, o in zip(xs, own, strict=True) if not o]
         if grams:
             u, at, c = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
             s = log_scores((u >> np.uint32(16)).astype(np.int64), (u & np.uint32(0xFFFF)).astype(np.int64), c)[at]
         done = 0
-        for key, i, x, y in zip(keys, ids, xs, ys, strict=True):
-            if i is None:
+        for k, (y, o) in enumerate(zip(ys, own, strict=True)):
+            if not o:
                 r = np.frombuffer(y, np.int32)
-                sums = np.bincount(r, s[done : done + len(r)])
+                places, to = np.unique(r, return_inverse=True)
+                xs[k], ys[k] = places.tobytes(), np.bincount(to, s[done : done + len(r)]).tobytes()
                 done += len(r)
-                rows = np.unique(r)
-                out_key.append(rows.astype(np.int64) + key), out_s.append(sums[rows])
-                out_id += [None] * len(rows)
-                out_n.append(np.zeros(len(rows), np.int64))
-            else:
-                out_key.append(key + np.arange(len(i))), out_s.append(np.frombuffer(y))
-                out_id += i
-                out_n.append(np.frombuffer(x, np.int64))
-        n = np.concatenate(out_n) if out_n else np.zeros(0, np.int64)
-        return pa.table([pa.array(np.concatenate(out_key)), pa.array(out_id, pa.int64()), pa.array(n), pa.array(np.concatenate(out_s))], ["key", "doc_id", "n", "s"])
+        return pa.table([t["key"], t["ids"], pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], ["key", "ids", "x", "y"])
+
+    def add_up(t: pa.Table) -> pa.Table:
+        """A piece of texts: what its own row and all parts tell, by document."""
+        ids, xs, ys = t["ids"].to_pylist(), t["x"].to_pylist(), t["y"].to_pylist()
+        k = next(k for k, i in enumerate(ids) if i is not None)
+        total = np.frombuffer(ys[k]).copy()
+        for j, (x, y) in enumerate(zip(xs, ys, strict=True)):
+            if j != k:
+                total[np.frombuffer(x, np.int32)] += np.frombuffer(y)
+        return pa.table([pa.array(ids[k], pa.int64()), pa.array(np.frombuffer(xs[k], np.int64)), pa.array(total)], ["doc_id", "n_words", "log_score"])
 
     dealt = rows.mapInArrow(occurrences, "part long, key long, ids array<long>, x binary, y binary")
-    sums = dealt.groupBy("part").applyInArrow(join_counts, "key long, doc_id long, n long, s double")
-    out = sums.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_words"), F.sum("s").alias("log_score"))
+    sums = dealt.groupBy("part").applyInArrow(join_counts, "key long, ids array<long>, x binary, y binary")
+    out = sums.groupBy("key").applyInArrow(add_up, "doc_id long, n_words long, log_score double")
     return out.select("doc_id", "n_words", "log_score", F.expr("log_score / nullif(n_words, 0)").alias("per_word"))
