@@ -101,9 +101,9 @@ def traverse(sizes: np.ndarray, bits: np.ndarray, labels: np.ndarray, percent: i
         return ok
 
     # a node with itself always survives, unless it has one label and nothing to tell apart
-    stack = [(len(tree) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    stack = [(len(tree) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64), False)]
     while stack:
-        h, a, b = stack.pop()
+        h, a, b, tested = stack.pop()
         v = tree[h]
         if h == 0:
             keep = a < b
@@ -112,15 +112,21 @@ def traverse(sizes: np.ndarray, bits: np.ndarray, labels: np.ndarray, percent: i
             if ok.any():
                 yield a[ok], b[ok]
             continue
-        ok = survive(v, a, b) | ((a == b) & ~v.same[a])
-        a, b = a[ok], b[ok]
+        if not tested:
+            ok = survive(v, a, b) | ((a == b) & ~v.same[a])
+            a, b = a[ok], b[ok]
+        if not len(a):
+            continue
         fan, n = fans[h - 1], len(tree[h - 1].low)
+        # depth first: of each height the stack holds one block of node pairs
         step = max(1, (1 << 16) // (fan * fan))
-        for i in range(0, len(a), step):
-            x = (a[i : i + step, None] * fan + np.repeat(np.arange(fan), fan)).ravel()
-            y = (b[i : i + step, None] * fan + np.tile(np.arange(fan), fan)).ravel()
-            keep = (x < n) & (y < n) & (x <= y)
-            stack.append((h - 1, x[keep], y[keep]))
+        i = (len(a) - 1) // step * step
+        if i:
+            stack.append((h, a[:i], b[:i], True))
+        x = (a[i:, None] * fan + np.repeat(np.arange(fan), fan)).ravel()
+        y = (b[i:, None] * fan + np.tile(np.arange(fan), fan)).ravel()
+        keep = (x < n) & (y < n) & (x <= y)
+        stack.append((h - 1, x[keep], y[keep], False))
 
 
 def group_pairs(ids: np.ndarray, sizes: np.ndarray, bits: list[np.ndarray], labels: np.ndarray, forest: bool, side: np.ndarray | None = None, percent: int = PERCENT) -> set[tuple[int, int]]:
@@ -229,10 +235,13 @@ def _classes(docs: DataFrame, words: int) -> DataFrame:
         held = 0
 
         def counted():
-            u, c = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            k = c >= 6
-            m = int(k.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(c[k].astype(np.int64)), pa.array(u[k].view(np.int64)), pa.nulls(m, pa.binary())], ["kind", "doc_id", "n", "sid", "bits"])
+            s = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+            parts.clear()
+            s.sort()
+            u = np.unique(s[5:][s[5:] == s[:-5]])  # those held six times or more
+            c = np.searchsorted(s, u, "right") - np.searchsorted(s, u)
+            m = len(u)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(c.astype(np.int64)), pa.array(u.view(np.int64)), pa.nulls(m, pa.binary())], ["kind", "doc_id", "n", "sid", "bits"])
 
         for b in batches:
             n, sid, bits = [], [], []
@@ -246,7 +255,7 @@ def _classes(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(bits, pa.binary())], ["kind", "doc_id", "n", "sid", "bits"])
             if held > 6_000_000:
                 yield counted()
-                parts.clear(), seen.clear()
+                seen.clear()
                 held = 0
         yield counted()
 
