@@ -94,6 +94,28 @@ def test_lm_scores_parts(docs, monkeypatch):
     assert bag((r.doc_id, r.n_words, round(r.log_score, 6)) for r in lm_score.score_documents(docs).collect()) == want
 
 
+def test_lm_whole_vocabulary(spark):
+    """More distinct words than every task holds counts of: rare words keep their own counts, alone, first, second and in pairs."""
+    rng = random.Random(5)
+    names = [f"w{i}" for i in range(70_000)]
+    rows = [(i, " ".join(names[i * 700 : (i + 1) * 700])) for i in range(100)]
+    rows += [(100 + i, " ".join(names[s : s + 9] + ["w7", "w7"])) for i, s in enumerate(rng.sample(range(60_000), 200))]
+    rows += [(300, "w69999 w69999 w69999"), (301, "w1 w69000 w2 w69001 w1 w69000"), (302, "w68000"), (303, "w68001 w68001"), (304, None)]
+    got = lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert bag((r.doc_id, r.n_words, round(r.log_score, 5)) for r in got) == bag((i, n, round(s, 5)) for i, n, s in brute_scores(rows, math.inf))
+
+
+def test_lm_rare_in_parts(spark, docs, monkeypatch):
+    """Few frequent words and many parts: most bigrams are those of two rare words."""
+    monkeypatch.setattr(lm_score, "PART", 200)
+    monkeypatch.setattr(lm_score, "HEAD", 3)
+    monkeypatch.setattr(lm_score, "VOCABULARY", 9)
+    for min_count in (1, 2):
+        got = lm_score.score_documents(docs, min_count=min_count).collect()
+        want = brute_scores([(r.doc_id, r.text) for r in docs.collect()], min_count=min_count)
+        assert bag((r.doc_id, r.n_words, round(r.log_score, 6)) for r in got) == bag(want)
+
+
 def test_lm_empty(empty):
     assert lm_score.score_documents(empty).collect() == []
 

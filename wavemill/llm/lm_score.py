@@ -1,7 +1,7 @@
 """Stupid-backoff scores of documents under the corpus' own bigram counts, computed relationally.
 
-Words are those of kernels.py. The vocabulary is the most frequent words, in whole levels of equal counts; others are one
-unknown word. With c the counts over all documents and N the number of words, the score of word w after v is
+Words are those of kernels.py. Every word counts by itself, unless a vocabulary size is given: then the vocabulary is the most
+frequent words, in whole levels of equal counts, and others are one unknown word. With c the counts over all documents and N the number of words, the score of word w after v is
 c(vw)/c(v) if c(vw) >= min_count, else backoff * c(w)/N; a document's first word has c(w)/N. A document's score is the sum
 of the natural logarithms.
 
@@ -9,6 +9,10 @@ Bigrams of the HEAD most frequent words are counted and looked up in one table o
 bigram outside it has a word outside the first HEAD, and makes up at most 1/HEAD of all: the others are dealt out by
 hash, and in each part the count table (by bigram) is joined to the occurrences (by document and bigram), and logarithms are
 summed by document.
+
+Every task also holds the counts of the VOCABULARY most frequent words. Each other word is rare (1/VOCABULARY of all at most):
+its count and its bigrams go to the part of its hash. There, a bigram with one rare word is scored. One with two goes to both
+words' parts, each of which counts it: the first word's scores it if it is counted often enough, the second's if it backs off.
 """
 
 from __future__ import annotations
@@ -24,10 +28,15 @@ from pyspark.sql import functions as F
 from .kernels import mix, words
 from .shared import saved
 
-#: Words of the vocabulary at most (16 bits each, 1 MB in all), and words of the dense table (2 MB).
+#: Words whose counts every task holds at most (16 bits each, 1 MB in all), and words of the dense table (2 MB).
 VOCABULARY, HEAD = 65_535, 512
 #: Occurrences that a part has on average; a part is one task's work.
 PART = 5_000_000
+#: An occurrence of a rare word: its hash and the bigram's, the other word's number, its place in the bigram (0: a text's first word), the row's place.
+RARE = np.dtype([("word", "<u8"), ("gram", "<u8"), ("other", "<u2"), ("side", "u1"), ("place", "<i4")])
+SECOND, FIRST = 1, 2
+COLUMNS = ["part", "key", "ids", "x", "y", "z"]
+STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -96,21 +105,24 @@ def _bigrams(v: Vocabulary, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
     return w, first, row
 
 
-def score_documents(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, vocabulary_size: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, vocabulary_size: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, log_score, per_word) of every row of `docs`.
 
     Null and empty texts have no words: log_score 0, per_word null. Null and repeated ids are documents of their own, and
     all copies of a text count. An empty table gives no rows; further columns are ignored. min_count 1 never backs off,
-    since every bigram of the corpus is counted.
+    since every bigram of the corpus is counted. With a vocabulary size, words beyond it are one unknown word.
     """
-    if vocabulary_size > VOCABULARY:
+    if vocabulary_size is not None and vocabulary_size > VOCABULARY:
         raise ValueError(f"a vocabulary of more than {VOCABULARY} words")
     spark = docs.sparkSession
     sc = spark.sparkContext
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    vocab = vocabulary(saved(word_counts(rows)), vocabulary_size)
+    counts = saved(word_counts(rows))
+    vocab = vocabulary(counts, VOCABULARY if vocabulary_size is None else vocabulary_size)
     held = sc.broadcast(vocab)
     head = min(HEAD, len(vocab.counts))
+    #: the number that all rare words have
+    rare = len(vocab.counts) if vocabulary_size is None and vocab.count[-1] else -1
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = held.value
@@ -136,9 +148,46 @@ def score_documents(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, v
         with np.errstate(divide="ignore"):
             return np.where(c >= min_count, np.log(np.maximum(c, 1)) - np.log(v.count[x]), np.log(backoff) + np.log(v.count[y] / v.total))
 
+    def dealt_by(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+        """The values in order of their keys' parts, and where each part begins."""
+        part = (mix(keys) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        return [*(x[order] for x in values), np.searchsorted(part[order], np.arange(parts + 1))]
+
+    def rare_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (part, -1, null, hashes, counts, null) of the rare words."""
+        v = held.value
+        for b in batches:
+            h, c = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
+            k = v.numbers(h) == rare
+            h, c = h[k], c[k].astype(np.int64)
+            h, c, cut = dealt_by(h, h, c)
+            full = np.flatnonzero(np.diff(cut)).tolist()
+            cols = [pa.array(full, pa.int64()), pa.array([-1] * len(full), pa.int64()), pa.nulls(len(full), pa.list_(pa.int64())), *(pa.array([x[cut[p] : cut[p + 1]].tobytes() for p in full], pa.binary()) for x in (h, c)), pa.nulls(len(full), pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, COLUMNS)
+
+    def rare_scores(rec: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """What a part with the counts n of the words h adds for each of its occurrences of rare words."""
+        v = held.value
+        order = np.argsort(h)
+        n = n[order][np.searchsorted(h[order], rec["word"])].astype(np.float64)
+        s = np.log(n / v.total)
+        for side in (SECOND, FIRST):
+            at = np.flatnonzero(rec["side"] == side)
+            _, to, c = np.unique(rec["gram"][at], return_inverse=True, return_counts=True)
+            c, x, other = c[to], n[at], rec["other"][at].astype(np.int64)
+            known, often = other != rare, c >= min_count
+            with np.errstate(divide="ignore"):
+                if side == SECOND:
+                    s[at] = np.where(often, np.where(known, np.log(c) - np.log(v.count[other]), 0), np.log(backoff) + np.log(x / v.total))
+                else:
+                    s[at] = np.where(often, np.log(c) - np.log(x), np.where(known, np.log(backoff) + np.log(v.count[other] / v.total), 0))
+        return s
+
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each piece of texts a row (any part, key, ids, word counts, sums of what the dense table tells), and a row
-        (part, key, null, bigrams, places) for each part that has some of its other bigrams. Document i has key + i."""
+        """Of each piece of texts a row (any part, key, ids, word counts, sums of what the dense table tells, null), and a row
+        (part, key, null, bigrams, places, occurrences of rare words) for each part that has some of its other bigrams.
+        Document i has key + i."""
         v, grid = held.value, grid_held.value
         key = TaskContext.get().partitionId() << 40
         for b in batches:
@@ -146,16 +195,26 @@ def score_documents(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, v
                 w, first, row = _bigrams(v, h, at)
                 base = np.zeros(j - i)
                 some = np.flatnonzero(np.diff(at))
-                base[some] = np.log(v.count[w[at[some]]] / v.total)
+                start = at[some]
+                told = w[start] != rare
+                base[some[told]] = np.log(v.count[w[start[told]]] / v.total)
                 x, y, r = w[first], w[first + 1], row[first]
                 k = (x < head) & (y < head)
                 x_, y_ = x[k], y[k]
                 base += np.bincount(r[k], log_scores(x_, y_, grid[x_ * head + y_]), j - i)
-                gram = x[~k].astype(np.uint32) << np.uint32(16) | y[~k].astype(np.uint32)
-                part = (mix(gram.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                gram, r, cut = gram[order], r[~k].astype(np.int32)[order], np.searchsorted(part[order], np.arange(parts + 1))
-                full = np.flatnonzero(np.diff(cut))
+                k = ~(k | (x == rare) | (y == rare))
+                gram = x[k].astype(np.uint32) << np.uint32(16) | y[k].astype(np.uint32)
+                gram, r_, cut = dealt_by(gram.astype(np.uint64), gram, r[k].astype(np.int32))
+                found = []
+                for side, places, words_, others in ((SECOND, np.flatnonzero(y == rare), 1, x), (FIRST, np.flatnonzero(x == rare), 0, y)):
+                    found.append(rec := np.zeros(len(places), RARE))
+                    f = first[places]
+                    rec["word"], rec["gram"], rec["other"], rec["side"], rec["place"] = h[f + words_], mix(h[f] * STEP + h[f + 1]), others[places], side, r[places]
+                found.append(rec := np.zeros(int((~told).sum()), RARE))
+                rec["word"], rec["place"] = h[start[~told]], some[~told]
+                rec = np.concatenate(found)
+                rec, rare_cut = dealt_by(rec["word"], rec)
+                full = np.flatnonzero(np.diff(cut) + np.diff(rare_cut))
                 m = len(full) + 1
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -163,29 +222,36 @@ def score_documents(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, v
                         pa.array(np.full(m, key)),
                         pa.array([*[None] * len(full), b.column(0)[i:j].to_pylist()], pa.list_(pa.int64())),
                         pa.array([*[gram[cut[p] : cut[p + 1]].tobytes() for p in full.tolist()], np.diff(at).astype(np.int64).tobytes()], pa.binary()),
-                        pa.array([*[r[cut[p] : cut[p + 1]].tobytes() for p in full.tolist()], base.tobytes()], pa.binary()),
+                        pa.array([*[r_[cut[p] : cut[p + 1]].tobytes() for p in full.tolist()], base.tobytes()], pa.binary()),
+                        pa.array([*[rec[rare_cut[p] : rare_cut[p + 1]].tobytes() for p in full.tolist()], None], pa.binary()),
                     ],
-                    ["part", "key", "ids", "x", "y"],
+                    COLUMNS,
                 )
                 key += j - i
 
     def join_counts(t: pa.Table) -> pa.Table:
-        """A part: its count table joined to its occurrences, logarithms summed by document; a row for each piece of texts
+        """A part: its count tables joined to its occurrences, logarithms summed by document; a row for each piece of texts
         (places and sums). The pieces' own rows pass through."""
-        own = [i is not None for i in t["ids"].to_pylist()]
-        xs, ys = t["x"].to_pylist(), t["y"].to_pylist()
-        grams = [np.frombuffer(x, np.uint32) for x, o in zip(xs, own, strict=True) if not o]
-        if grams:
-            u, at, c = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+        keys, ids = t["key"].to_pylist(), t["ids"].to_pylist()
+        own, tells = [i is not None for i in ids], [k < 0 for k in keys]
+        xs, ys, zs = t["x"].to_pylist(), t["y"].to_pylist(), t["z"].to_pylist()
+        some = [k for k in range(len(keys)) if not own[k] and not tells[k]]
+        s, rare_s = np.zeros(0), np.zeros(0)
+        if some:
+            u, at, c = np.unique(np.concatenate([np.frombuffer(xs[k], np.uint32) for k in some]), return_inverse=True, return_counts=True)
             s = log_scores((u >> np.uint32(16)).astype(np.int64), (u & np.uint32(0xFFFF)).astype(np.int64), c)[at]
-        done = 0
-        for k, (y, o) in enumerate(zip(ys, own, strict=True)):
-            if not o:
-                r = np.frombuffer(y, np.int32)
-                places, to = np.unique(r, return_inverse=True)
-                xs[k], ys[k] = places.tobytes(), np.bincount(to, s[done : done + len(r)]).tobytes()
-                done += len(r)
-        return pa.table([t["key"], t["ids"], pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], ["key", "ids", "x", "y"])
+            rec = np.concatenate([np.frombuffer(zs[k], RARE) for k in some])
+            if len(rec):
+                h, n = (np.concatenate([np.frombuffer(x[k], kind) for k in range(len(keys)) if tells[k]]) for x, kind in ((xs, np.uint64), (ys, np.int64)))
+                rare_s = rare_scores(rec, h, n)
+        done = rare_done = 0
+        for k in some:
+            r, z = np.frombuffer(ys[k], np.int32), np.frombuffer(zs[k], RARE)["place"]
+            places, to = np.unique(np.concatenate([r, z]), return_inverse=True)
+            xs[k], ys[k] = places.tobytes(), np.bincount(to, np.concatenate([s[done : done + len(r)], rare_s[rare_done : rare_done + len(z)]]), len(places)).tobytes()
+            done, rare_done = done + len(r), rare_done + len(z)
+        keep = [k for k in range(len(keys)) if not tells[k]]
+        return pa.table([pa.array([f[k] for k in keep], kind) for f, kind in ((keys, pa.int64()), (ids, pa.list_(pa.int64())), (xs, pa.binary()), (ys, pa.binary()))], ["key", "ids", "x", "y"])
 
     def add_up(t: pa.Table) -> pa.Table:
         """A piece of texts: what its own row and all parts tell, by document."""
@@ -197,7 +263,10 @@ def score_documents(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, v
                 total[np.frombuffer(x, np.int32)] += np.frombuffer(y)
         return pa.table([pa.array(ids[k], pa.int64()), pa.array(np.frombuffer(xs[k], np.int64)), pa.array(total)], ["doc_id", "n_words", "log_score"])
 
-    dealt = rows.mapInArrow(occurrences, "part long, key long, ids array<long>, x binary, y binary")
+    schema = "part long, key long, ids array<long>, x binary, y binary, z binary"
+    dealt = rows.mapInArrow(occurrences, schema)
+    if rare >= 0:
+        dealt = dealt.union(counts.mapInArrow(rare_counts, schema))
     sums = dealt.groupBy("part").applyInArrow(join_counts, "key long, ids array<long>, x binary, y binary")
     out = sums.groupBy("key").applyInArrow(add_up, "doc_id long, n_words long, log_score double")
     return out.select("doc_id", "n_words", "log_score", F.expr("log_score / nullif(n_words, 0)").alias("per_word"))
