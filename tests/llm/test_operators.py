@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavemill.llm import ann, chat, jaccard_join, kernels, langid, lm_score, mixing, packing, shard, shared, token_rollup, winnow
+from wavemill.llm import ann, chat, jaccard_join, kernels, langid, lm_score, mixing, packing, queries, shard, shared, token_rollup, winnow
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, sid long, label string, copies int, share long, key string, part int, bucket int"
 
@@ -372,6 +372,25 @@ def test_winnow_compare(spark, docs, buckets):
     assert winnow.compare_edited(lone.where("false")).collect() == []
 
 
+def test_winnow_query_short_texts(spark, tmp_path):
+    """The registered query finds the kept half of texts of 64 code points or more."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz     "
+    rows = [(i, "".join(rng.choice(letters) for _ in range(n))) for i, n in enumerate([*range(64, 127), 160, 200, 253])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op7_winnow(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(r.near_edited > r.near_next + 0.05 for r in got)
+
+
+def test_winnow_large_ids(spark):
+    """Ids that a double cannot tell apart: every row still meets its next."""
+    base = 2**62
+    docs = spark.createDataFrame([(base + i, f"text {i} of many rows") for i in range(200)], "doc_id long, text string")
+    assert sorted(r.doc_id - base for r in winnow.compare_edited(docs, 8, 4, 20).collect()) == list(range(200))
+    wide = spark.createDataFrame([(base + 1025 * i + 1, f"text {i} of many rows") for i in range(200)], "doc_id long, text string")
+    assert wide.count() == winnow.compare_edited(wide, 8, 4, 20).count()
+
+
 # op 8
 
 

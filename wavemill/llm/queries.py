@@ -13,6 +13,8 @@ from .sql import ORACLE_SQL, op2
 MIX_WEIGHTS = {"domain": {"0": 6, "1": 2, "2": 2, "3": 3, "7": 4}, "lang": {"en": 5, "de": 3, "fr": 2, "es": 2}, "source": {"src0": 3, "src7": 2}}
 MIX_BUDGET, MIX_EPOCHS, MIX_SEED = 0.5, 4, 17
 SHARDS, SHARD_SEED = 24, 20240229
+#: Dense enough that a kept half of a text of 46 code points has a fingerprint.
+WINNOW_K, WINNOW_WINDOW = 8, 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,7 +80,7 @@ def op6_chat(spark, sf_dir):
 
 def op7_winnow(spark, sf_dir):
     """Fingerprints of every document and of its edited text."""
-    return winnow.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return winnow.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"), WINNOW_K, WINNOW_WINDOW)
 
 
 def op8_anisotropic_ann(spark, sf_dir):

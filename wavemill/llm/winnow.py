@@ -96,7 +96,10 @@ def compare_edited(docs: DataFrame, k: int = K, window: int = WINDOW, buckets: i
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     want = min(buckets or 4 * parts, 2000)
     bounds = sorted(set(ids.approxQuantile("doc_id", [i / want for i in range(1, want)], 0.2 / want))) if want > 1 else []
-    bounds = [int(x) for x in bounds]
+    if bounds:  # quantiles are doubles; the least id from each on is an exact long of the table
+        near = F.lit([min(int(x), 2**63 - 1) for x in bounds]).cast("array<bigint>")
+        least = ids.groupBy(F.size(F.filter(near, lambda x: x <= F.col("doc_id"))).alias("n")).agg(F.min("doc_id").alias("low")).where("n > 0")
+        bounds = sorted(r.low for r in least.collect())
     first = ids.agg(F.min("doc_id"), F.max(F.col("doc_id").isNull().cast("int"))).first()
     start = None if first[1] else first[0]
     held = F.lit(bounds).cast("array<bigint>") if bounds else F.expr("cast(array() as array<bigint>)")
