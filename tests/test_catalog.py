@@ -40,6 +40,21 @@ def test_query(spark, con, sf_dir, name):
         assert a == b, (list((a - b).items())[:3], list((b - a).items())[:3])
 
 
+@pytest.mark.parametrize("name", ["phase_locked_power", "surrogate_shifts"])
+def test_long_channel(spark, tmp_path, name):
+    """Spikes beyond sample 60,000 of the channel count too."""
+    x = spark.range(60_500).selectExpr("id as event_id", "'click' as event_type", "cast(id % 101 + if(id > 60000, 500, 0) as double) as value")
+    x.write.parquet(f"{tmp_path}/events.parquet")
+    df = catalog.queries()[name](spark, str(tmp_path))
+    cols = sorted(df.columns)
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    cur = c.execute(ORACLE[name])
+    names = [n[0] for n in cur.description]
+    want = [tuple(r[names.index(n)] for n in cols) for r in cur.fetchall()]
+    assert canonical([tuple(r[n] for n in cols) for r in df.collect()]) == canonical(want)
+
+
 def test_flagship(spark):
     import __spark_entry__
 

@@ -260,8 +260,8 @@ query("psd_confidence_interval", f"with {_BAND} select ch, k::int as k, round(ps
 # coupling
 
 
-def _spikes(s, d, below=60):
-    return shape.channels(ev(s, d), ["click"]).df.where(f"idx % 37 = 5 and idx < {below * 1000}").select("ch", "idx")
+def _spikes(s, d):
+    return shape.channels(ev(s, d), ["click"]).df.where("idx % 37 = 5").select("ch", "idx")
 
 
 query("phase_event_index", f"with {_Z} select ch, idx::bigint as idx from z where case when atan2(im, re) < 0 then atan2(im, re) + 2 * pi() else atan2(im, re) end between 1.2 and 1.6")(lambda s, d: filters.phase(filters.analytic(ev(s, d), 8)).df.where("value between 1.2 and 1.6").select("ch", F.col("idx").cast("long").alias("idx")))
