@@ -55,6 +55,16 @@ def test_long_channel(spark, tmp_path, name):
     assert canonical([tuple(r[n] for n in cols) for r in df.collect()]) == canonical(want)
 
 
+def test_edf_roundtrip_whole(spark, tmp_path):
+    """Channels of any length come back whole, as near as 16 bits allow."""
+    types = ["a"] * 1000 + ["b"] * 70 + ["c"] * 7 + ["d"] * 64
+    x = spark.createDataFrame([(i, t, float(i % 997) - 400) for i, t in enumerate(types)], "event_id long, event_type string, value double")
+    x.write.parquet(f"{tmp_path}/events.parquet")
+    want = {("abcd".index(r.ch), r.idx): r.value for r in catalog.ev(spark, str(tmp_path)).df.collect()}
+    got = [tuple(r) for r in catalog.queries()["edf_roundtrip"](spark, str(tmp_path)).select("ch", "idx", "value").collect()]
+    assert len(got) == len(want) == len(types) and all(abs(want[c, i] - v) <= 10000 / 65535 + 0.006 for c, i, v in got)
+
+
 def test_flagship(spark):
     import __spark_entry__
 

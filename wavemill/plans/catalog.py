@@ -301,17 +301,22 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("edf_roundtrip", None)
 def edf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first whole records of every event channel, written as a recording and read back."""
+    """All samples of every event channel, written as a recording and read back. Shorter channels and the last record are
+    filled with zeros, which are cut off again by the channels' lengths."""
     from ..sources import edf
 
     x = ev(spark, sf_dir)
-    least = x.lengths().agg(F.min("n"), F.count("*")).first()
-    n, k = max(1, least[0] // 32), least[1]
+    lengths = sorted(map(tuple, x.lengths().collect()))  # one row a channel
+    n, k = max(1, -(-max((m for _, m in lengths), default=0) // 32)), len(lengths)
     values = {"version": "0", "patient": "x", "recording": "events", "start_date": "01.01.24", "start_time": "00.00.00", "header_bytes": 256 * (k + 1), "reserved_0": "", "num_records": n, "record_duration": 32 / FS, "num_signals": k, "names": [f"ch{i}" for i in range(k)], "transducers": [""] * k, "physical_dim": [""] * k, "physical_min": [-10000.0] * k, "physical_max": [10000.0] * k, "digital_min": [-32768.0] * k, "digital_max": [32767.0] * k, "prefiltering": [""] * k, "samples_per_record": [32] * k, "reserved_1": [""] * k}
     folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp"
     path = f"{folder}/events-{abs(hash((sf_dir, n, k)))}.edf"
-    edf.write(shape.take_slice(x, 0, 32 * n), edf.Header.from_dict(values), path)
-    return edf.read(spark, path).df.select("ch", "idx", _r("value", 2))
+    ends = spark.createDataFrame([(c, i, m) for i, (c, m) in enumerate(lengths)], "ch string, place int, n long")
+    fill = spark.range(min((m for _, m in lengths), default=0), 32 * n).join(F.broadcast(ends), F.col("id") >= F.col("n"))
+    padded = x.df.select("ch", "idx", "value").union(fill.select("ch", "id", F.lit(0.0)))
+    edf.write(x.with_df(padded), edf.Header.from_dict(values), path)
+    back = edf.read(spark, path).df.join(F.broadcast(ends.select(F.col("place").alias("ch"), "n")), "ch").where("idx < n")
+    return back.select("ch", "idx", _r("value", 2))
 
 
 def queries() -> dict:
