@@ -10,15 +10,13 @@ from wavemill.llm.queries import mixed
 from wavemill.llm.shared import shared_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document is kept if one language has at least this share of it.
-LEAST_SHARE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a recognisable language; the model learns from the labelled ones that aren't held out."""
     model = langid.train(docs.where(langid.fold(F.col("doc_id")) != 0))
     out = langid.identify(docs, model, list(COLUMNS))
-    return out.where((F.col("lang_pred") != langid.NO_LANGUAGE) & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
+    return out.where(F.col("lang_pred") != langid.NO_LANGUAGE).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,18 @@ def test_stages(spark, tmp_path):
         docs = out
 
 
+def test_several_languages(spark):
+    """A document of three languages in even shares is kept, and so is a text of two letters."""
+    model = langid.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert len(model[0]) >= 3
+    parts = [spark.read.parquet(f"{SF}/documents.parquet").where((F.col("lang") == name) & (F.length("text") > 300)).orderBy("doc_id").first().text[:300] for name in model[0][:3]]
+    rows = [(1, " ".join(parts), "en", "src0", 1), (2, "ab", "en", "src0", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r.doc_id: r for r in langid.identify(docs, model, ["doc_id"]).collect()}
+    assert found[1].score < 0.4 and len(found[1].languages) >= 3 and found[2].score < 0.4
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(spark.read.parquet(f"{SF}/documents.parquet").select(docs.columns).where("doc_id > 2")), SF).collect()} >= {1, 2}
+
+
 def test_rejects(spark):
     rows = [(1, "the of and with that this", "en", "src0", 1), (2, "12 34 !!", "en", "src0", 1), (3, None, "en", "src0", 1), (4, "le la les des pour que", "fr", "src1", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
