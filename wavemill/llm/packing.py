@@ -2,6 +2,7 @@
 
 Pieces come one after the other (online). A piece goes to the open bin with the least free space that holds it; a bitset
 over free space (an integer) finds it at once. At most `open_bins` bins are open: before one more opens, the fullest closes.
+With OPEN_BINS and GROUP as they are here the bound isn't reached on the given documents: this is best-fit decreasing by group.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from .kernels import pieces as ranges
 from .kernels import prefix_hash, span_hash, utf8
 
-#: Documents that are packed together on average; about a thousand bins, of which only the last few stay partly empty.
+#: Documents that are packed together on average; some thousands of bins, of which only the last few stay partly empty.
 GROUP = 16_384
 OPEN_BINS = 8192
 #: Words whose ids a worker keeps; beyond, it starts anew.
