@@ -20,10 +20,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component: the one with the smallest id. Documents without words are all kept."""
-    found = jaccard_join.jaccard_components(docs)
-    rest = found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id")
-    return docs.join(rest, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one row of each component: the one with the smallest id, null ids last, and the first of equal ones. Rows without
+    words are all kept. Rows are told apart by a number of their own, which is written with them, not by their ids."""
+    docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()).write.parquet(at := shared_path(spark, "rows"))
+    rows = spark.read.parquet(at)
+    found = jaccard_join.jaccard_components(rows.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row")
+    found = found.join(rows.select("row", "doc_id"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    kept = found.where("n_shingles > 0").groupBy("component_id").agg(first).select("first.row").union(found.where("n_shingles = 0").select("row"))
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

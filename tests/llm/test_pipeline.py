@@ -48,6 +48,15 @@ def test_several_languages(spark):
     assert {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(spark.read.parquet(f"{SF}/documents.parquet").select(docs.columns).where("doc_id > 2")), SF).collect()} >= {1, 2}
 
 
+def test_near_duplicates_of_odd_ids(spark):
+    """One row of each component stays, whatever its id: repeated and null ids, and rows that are repeated whole."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    texts = [(1, a), (1, a), (1, a), (2, a), (2, b), (None, a), (None, c), (None, c), (7, d), (None, d), (3, ""), (3, None), (None, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "src0", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()), key=repr)
+    assert got == sorted([(1, a), (2, b), (None, c), (7, d), (3, ""), (3, None), (None, " ")], key=repr)
+
+
 def test_rejects(spark):
     rows = [(1, "the of and with that this", "en", "src0", 1), (2, "12 34 !!", "en", "src0", 1), (3, None, "en", "src0", 1), (4, "le la les des pour que", "fr", "src1", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
