@@ -6,7 +6,9 @@ Words are maximal runs of bytes other than 0x20 and 0x09-0x0D; A-Z count as a-z.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +18,60 @@ U64 = np.uint64
 _rng = np.random.default_rng(20240611)
 _TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _TABLE[65:91] = _TABLE[97:123]
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
+BASE = 0x9E3779B97F4A7C15
 _STEP = U64(0xD6E8FEB86659FD93)
-_powers: list[np.ndarray] = []
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of text that a kernel works on at once; a longer text is a piece of its own.
 PIECE = 2 << 20
+#: Bytes under one table of powers: hashes of longer texts are made block by block, so the tables never grow.
+BLOCK = 1 << 16
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    p = np.full(n, base, np.uint64)
+    p[0] = 1
+    return np.cumprod(p, dtype=np.uint64)
+
+
+_UP, _DOWN = _powers(BASE, BLOCK), _powers(pow(BASE, -1, 2**64), BLOCK)
+_HIGH = pow(BASE, BLOCK, 2**64)
+
+
+_libc: list = []
+
+
+def _prepare() -> None:
+    if _libc:
+        return
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which otherwise rises with what is freed
+        libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+        _libc.append(libc.malloc_trim)
+        pa.set_memory_pool(pa.system_memory_pool())
+    except (OSError, AttributeError):  # another libc
+        _libc.append(lambda _: None)
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    _libc[0](0)
+
+
+def lean(run: Callable) -> Callable:
+    """A function of Arrow batches whose worker gives memory back: large arrays are mapped on their own, Arrow allocates by
+    the same rules, and what is free is returned when the task ends. Workers live on between tasks and stages."""
+
+    @wraps(run)
+    def own(batches):
+        _prepare()
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return own
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -33,21 +81,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse."""
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, PIECE + 1)
-        out = []
-        for base in (_BASE, _INVERSE):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=np.uint64))
-        if n > 8 * PIECE:  # for one very long text: not kept
-            return out[0], out[1]
-        _powers[:] = out
-    return _powers[0], _powers[1]
-
-
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, one text after the other, and each text's offset; null texts are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -73,17 +106,37 @@ def pieces(offsets: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int]]:
 
 
 def prefix_hash(data: np.ndarray, table: np.ndarray = _TABLE) -> np.ndarray:
-    """c with c[e] - c[s] = hash of data[s:e] times base**s."""
-    c = np.empty(len(data) + 1, np.uint64)
-    c[0] = 0
-    v = table[data]
-    v *= powers(len(data) + 1)[0][: len(data)]
-    np.cumsum(v, out=c[1:])
+    """For each byte the sum of its block's values up to it, each times base**(its place in the block)."""
+    c = table[data]
+    for i in range(0, len(c), BLOCK):
+        part = c[i : i + BLOCK]
+        part *= _UP[: len(part)]
+        np.cumsum(part, out=part)
     return c
 
 
 def span_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix((c[end] - c[start]) * powers(len(c))[1][start])
+    """Hashes of the spans (none is empty): the sum of value times base**(place in the span), and an avalanche step."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    low = start & (BLOCK - 1)
+    x = c[end - 1] - np.where(low > 0, c[np.maximum(start, 1) - 1], U64(0))
+    x *= _DOWN[low]
+    for k in np.flatnonzero((start >> 16) != ((end - 1) >> 16)).tolist():  # over a block's end
+        x[k] = _long_span(c, int(start[k]), int(end[k]))
+    return mix(x)
+
+
+def _long_span(c: np.ndarray, start: int, end: int) -> np.uint64:
+    total, low = 0, start % BLOCK
+    down = pow(BASE, -low, 2**64)
+    at = start
+    while at < end:
+        stop = min(end, at - at % BLOCK + BLOCK)
+        total += (int(c[stop - 1]) - (int(c[at - 1]) if at % BLOCK else 0)) * down
+        down = down * _HIGH % 2**64
+        at = stop
+    return U64(total % 2**64)
 
 
 def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
