@@ -2,12 +2,11 @@
 
 Pieces come one after the other (online). A piece goes to the open bin with the least free space that holds it; a bitset
 over free space (an integer) finds it at once. At most `open_bins` bins are open: before one more opens, the fullest closes.
-With OPEN_BINS and GROUP as they are here the bound isn't reached on the given documents: this is best-fit decreasing by group.
+The order is by a hash of id and text, whatever the length, so a stream could come in it.
 """
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -15,15 +14,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .kernels import lean, utf8
 from .kernels import pieces as ranges
-from .kernels import prefix_hash, span_hash, utf8
+from .shared import clear_of
+from .tokens import word_tokenizer
 
-#: Documents that are packed together on average; some thousands of bins, of which only the last few stay partly empty.
+#: Documents that are packed together on average: some thousands of bins, of which only those open at the end stay partly empty.
 GROUP = 16_384
-OPEN_BINS = 8192
-#: Words whose ids a worker keeps; beyond, it starts anew.
-MOST_WORDS = 1_500_000
+#: Bins open at once. More would not save a sequence on the documents at hand (see README), fewer would.
+OPEN_BINS = 64
 
 
 class BestFit:
@@ -64,113 +65,6 @@ class BestFit:
         return at, self.size - free
 
 
-_LETTERS = np.zeros(256, bool)
-_LETTERS[[*range(65, 91), *range(97, 123)]] = True
-_GAP = np.zeros(256, bool)
-_GAP[[0x20, *range(0x09, 0x0E)]] = True
-_ASCII_REST = np.zeros(256, bool)
-_ASCII_REST[0x21:0x7F] = True
-_ASCII_REST &= ~_LETTERS
-
-
-class WordTokenizer:
-    """Ids of texts by a tokenizer that treats white-space separated words on their own and splits at the end of a run of
-    letters (the pattern of word_bpe_49k.json): each distinct run is encoded once by the tokenizer, the rest is lookup.
-
-    A run ends at ASCII white space, and between a letter (A-Z, a-z, U+00C0-U+00FF but the signs × and ÷) and an ASCII
-    character that is none: there the tokenizer's own pattern always ends a match, and normalisation never joins the two.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        vocab = self.tok.get_vocab(with_added_tokens=False)
-        self.last = np.zeros(max(vocab.values()) + 1, bool)
-        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.clear()
-
-    def clear(self) -> None:
-        self.known, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
-
-    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words, one after the other, and how many each has."""
-        plain = [k for k, w in enumerate(words) if w.isalpha()]  # ASCII letters only: one match each
-        odd = [k for k, w in enumerate(words) if not w.isalpha()]
-        counts, ids = np.zeros(len(words), np.int64), [np.zeros(0, np.uint32)] * len(words)
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
-            x = np.array(self.tok.encode(" ".join(words[k].decode() for k in part), add_special_tokens=False).ids, np.uint32)
-            for k, y in zip(part, np.split(x, np.flatnonzero(self.last[x])[:-1] + 1), strict=True):
-                ids[k] = y
-        for i in range(0, len(odd), 4096):
-            part = odd[i : i + 4096]
-            for k, e in zip(part, self.tok.encode_batch([words[k].decode("utf-8", "replace") for k in part], add_special_tokens=False), strict=True):
-                ids[k] = np.array(e.ids, np.uint32)
-        counts[:] = [len(x) for x in ids]
-        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), counts
-
-    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts (bytes and offsets as of kernels.utf8), and where each text's begin."""
-        n = len(data)
-        if not n:
-            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
-        gap = _GAP[data]
-        first = np.zeros(n + 1, bool)
-        first[off] = True
-        letter = _LETTERS[data]
-        wide = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)) + 1
-        letter[wide] = True
-        cut = first[:n].copy()
-        cut[1:] |= gap[:-1] | (letter[:-1] & _ASCII_REST[data[1:]])
-        start = np.flatnonzero(cut & ~gap)
-        end_at = np.zeros(n, bool)
-        end_at[-1] = True
-        end_at[:-1] = gap[1:] | cut[1:]
-        end = np.flatnonzero(end_at & ~gap) + 1
-        h = span_hash(prefix_hash(data), start, end)
-        u, where, inv = np.unique(h, return_index=True, return_inverse=True)
-        pos = np.searchsorted(self.known, u)
-        new = np.ones(len(u), bool)
-        inside = pos < len(self.known)
-        new[inside] = self.known[pos[inside]] != u[inside]
-        if new.any():
-            if len(self.known) + int(new.sum()) > MOST_WORDS and len(self.known):
-                self.clear()
-                pos, new = np.zeros(len(u), np.int64), np.ones(len(u), bool)
-            ids, counts = self._encode([data[start[k] : end[k]].tobytes() for k in where[new]])
-            ends = np.cumsum(counts)
-            self.at = np.insert(self.at, pos[new], len(self.pool) + ends - counts)
-            self.n = np.insert(self.n, pos[new], counts)
-            self.known = np.insert(self.known, pos[new], u[new])
-            self.pool = np.concatenate((self.pool, ids))
-            pos = np.searchsorted(self.known, u)
-        slot = pos[inv]
-        n_ids = self.n[slot]
-        ends = np.cumsum(n_ids)
-        total = int(ends[-1]) if len(ends) else 0
-        gather = np.repeat(self.at[slot] - (ends - n_ids), n_ids) + np.arange(total)
-        before = np.concatenate(([0], ends))[np.searchsorted(start, off)]
-        return self.pool[gather], before
-
-
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
-def word_tokenizer(path: str | None) -> WordTokenizer:
-    """The worker's tokenizer for a file; by default public_tokenizers' word_bpe_49k.json."""
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path("word_bpe_49k.json")
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
-
-
 def token_pieces(docs: DataFrame, max_tokens: int = 2048, tokenizer_path: str | None = None, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_crc32, piece, start, length, ids_crc32[, ids]): every document's ids and `end_id`, cut at max_tokens."""
     schema = "doc_id long, text_crc32 long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
@@ -180,7 +74,7 @@ def token_pieces(docs: DataFrame, max_tokens: int = 2048, tokenizer_path: str |
         for b in batches:
             data, off = utf8(b.column(1))
             keys = b.column(0).to_pylist()
-            for i, j in ranges(off, 4 << 20):
+            for i, j in ranges(off):
                 ids, before = tok.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 rows = []
                 for r in range(i, j):
@@ -188,28 +82,28 @@ def token_pieces(docs: DataFrame, max_tokens: int = 2048, tokenizer_path: str |
                     text = zlib.crc32(data[off[r] : off[r + 1]])
                     for p, s in enumerate(range(0, len(mine), max_tokens)):
                         part = mine[s : s + max_tokens]
-                        rows.append((keys[r], text, p, s, len(part), zlib.crc32(part.tobytes()), part.astype(np.int32)))
+                        rows.append((keys[r], text, p, s, len(part), zlib.crc32(part.tobytes()), part.astype(np.int32) if with_ids else None))
                 cols = list(zip(*rows, strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
                 names = ["doc_id", "text_crc32", "piece", "start", "length", "ids_crc32", "ids"]
                 m = 7 if with_ids else 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in list(zip(cols, kinds, strict=True))[:m]], names[:m])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), schema)
 
 
 def pack(pieces: DataFrame, groups: int, max_tokens: int = 2048, open_bins: int = OPEN_BINS) -> DataFrame:
     """`pieces` with sequence_id (long) and offset (long).
 
-    Pieces are dealt to `groups` by a hash of id and text; a group's come longest first, which leaves less room unused than
-    any other order, then by hash. So the result doesn't depend on partitioning; a group's sequences have ids of their own (group * 2**32 + number). Repeated rows are pieces of their
-    own. Groups are streams: a task holds its open bins and one batch.
+    Pieces are dealt to `groups` by a hash of id and text and come in the order of another one, so the result doesn't depend
+    on partitioning, and a hot source or length doesn't matter. A group's sequences have ids of their own (group * 2**32 +
+    number). Repeated rows are pieces of their own. Groups are streams: a task holds its open bins and one batch. Further
+    columns are kept; if there are sequence_id or offset among them, the new ones are named with _ before.
     """
-    schema = pieces.schema
-    order = F.xxhash64("doc_id", "text_crc32", F.lit(0x5EED))
-    dealt = pieces.withColumn("_order", order).withColumn("_group", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(0xDEA1)), F.lit(groups)))
-    # distinct documents go to different groups, so a hot source or size doesn't matter
-    dealt = dealt.repartition(max(1, min(groups, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "_group").sortWithinPartitions("_group", F.col("length").desc(), "_order", "doc_id", "piece")
+    order, group_, sequence, offset_ = clear_of(pieces, "order", "group", "sequence_id", "offset")
+    dealt = pieces.withColumn(order, F.xxhash64("doc_id", "text_crc32", F.lit(0x5EED))).withColumn(group_, F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(0xDEA1)), F.lit(groups)))
+    parts = max(1, min(groups, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = dealt.repartition(parts, group_).sortWithinPartitions(group_, order, "doc_id", "piece", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, bins = None, None
@@ -221,17 +115,18 @@ def pack(pieces: DataFrame, groups: int, max_tokens: int = 2048, open_bins: int
                 at, offset = bins.put(n)
                 seq.append(g << 32 | at)
                 place.append(offset)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(seq, pa.int64()), pa.array(place, pa.int64())], [*b.schema.names[:-2], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(seq, pa.int64()), pa.array(place, pa.int64())], [*b.schema.names[:-2], sequence, offset_])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
-    return dealt.mapInArrow(run, f"{fields}, sequence_id long, offset long")
+    out = T.StructType([*pieces.schema, T.StructField(sequence, T.LongType()), T.StructField(offset_, T.LongType())])
+    return dealt.mapInArrow(lean(run), out)
 
 
 def pack_documents(docs: DataFrame, max_tokens: int = 2048, tokenizer_path: str | None = None, with_ids: bool = False, open_bins: int = OPEN_BINS) -> DataFrame:
     """Packs all rows of `docs` (doc_id, text) into sequences of at most max_tokens.
 
-    Null texts are empty and have one token, the end; only longer documents are cut. Null and repeated ids are documents of
-    their own. An empty table gives no rows. Further columns are ignored.
+    Null texts are empty and have one token, the end; only longer documents are cut, into pieces that are packed each on its
+    own, so a text may be of any length. The tokenizer's own marks (such as its end of text) count as one id where they
+    stand in a text. Null and repeated ids are documents of their own. An empty table gives no rows. Further columns are ignored.
     """
     n = docs.select("doc_id").count()
     return pack(token_pieces(docs, max_tokens, tokenizer_path, with_ids=with_ids), max(1, -(-n // GROUP)), max_tokens, open_bins)
