@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import lean
+
 #: Template: a turn is HEAD role MIDDLE text TAIL. In roles and texts a backslash goes before each backslash, #, : and <,
 #: so no mark can begin inside them.
 HEAD, MIDDLE, TAIL = "### ", ": ", " </turn>\n"
@@ -89,22 +91,39 @@ class Layouts:
 
     A mapping is a list of steps: {"role": r, "path": "a.b"} takes one text as a turn of role r, skipping it when absent
     ("optional": True); {"each": "messages", "role": "role", "text": "content", "names": {...}} takes a turn of every item,
-    renaming roles. A layout is registered by an example record for each of its shapes.
+    renaming roles. A layout is registered by an example record for each of its shapes. A record of another fingerprint (more
+    fields, say) is mapped by the first registered mapping whose required paths it has, those with most of them first; one
+    that none fits is kept whole, as a single turn of role `record`.
     """
 
     def __init__(self):
         self.by_print: dict[str, list[dict]] = {}
+        self.mappings: list[list[dict]] = []
 
     def register(self, steps: list[dict], *examples) -> Layouts:
         for e in examples:
             self.by_print[fingerprint(e)] = steps
+        self.mappings = sorted([*self.mappings, steps], key=lambda m: -sum(len(_required(s)) for s in m if not s.get("optional")))
         return self
 
-    def turns(self, record) -> list[tuple[str, str]] | None:
-        """Canonical turns, or None for a layout that isn't registered. Null texts and roles are empty."""
-        steps = self.by_print.get(fingerprint(record))
+    def mapping(self, record, seen: dict) -> list[dict] | None:
+        """The record's mapping, or None. `seen` keeps what was found for fingerprints that aren't registered."""
+        key = fingerprint(record)
+        if key in self.by_print:
+            return self.by_print[key]
+        if key not in seen:
+            have = {p.removesuffix(":object").removesuffix(":array") for p in paths(record)}
+            fits = (m for m in self.mappings if all(f".{p}" in have for s in m if not s.get("optional") for p in _required(s)))
+            if len(seen) > 10_000:
+                seen.clear()
+            seen[key] = next(fits, None)
+        return seen[key]
+
+    def turns(self, record, seen: dict | None = None) -> tuple[list[tuple[str, str]], bool]:
+        """Canonical turns, and whether a mapping gave them. Null texts and roles are empty."""
+        steps = self.mapping(record, {} if seen is None else seen)
         if steps is None:
-            return None
+            return [("record", _text(record))], False
         out = []
         for s in steps:
             if "each" in s:
@@ -113,7 +132,11 @@ class Layouts:
                     out.append((s.get("names", {}).get(role, role), _text(_at(item, s["text"]))))
             elif not (s.get("optional") and _at(record, s["path"]) is None):
                 out.append((s["role"], _text(_at(record, s["path"]))))
-        return out
+        return out, True
+
+
+def _required(step: dict) -> list[str]:
+    return [f"{step['each']}[].{step[k]}" for k in ("role", "text")] if "each" in step else [step["path"]]
 
 
 def _at(value, path: str):
@@ -131,52 +154,58 @@ def common_layouts() -> Layouts:
     m = {"role": "user", "content": "x"}
     c = {"from": "human", "value": "x"}
     names = {"human": "user", "gpt": "assistant", "bot": "assistant"}
+
+    def turn(role, path, **more):
+        return {"role": role, "path": path, **more}
+
     return (
         Layouts()
         .register([{"each": "messages", "role": "role", "text": "content"}], {"messages": [m]}, {"messages": []})
         .register([{"each": "conversations", "role": "from", "text": "value", "names": names}], {"conversations": [c]}, {"conversations": []})
-        .register([{"role": "user", "path": "prompt"}, {"role": "assistant", "path": "response"}], {"prompt": "x", "response": "y"})
-        .register([{"role": "system", "path": "system"}, {"role": "user", "path": "instruction"}, {"role": "assistant", "path": "output"}], {"system": "s", "instruction": "x", "output": "y"})
-        .register([{"role": "user", "path": "instruction"}, {"role": "assistant", "path": "output"}], {"instruction": "x", "output": "y"})
+        .register([turn("user", "prompt"), turn("assistant", "response")], {"prompt": "x", "response": "y"})
+        .register([turn("user", "prompt"), turn("assistant", "completion")], {"prompt": "x", "completion": "y"})
+        .register([turn("system", "system", optional=True), turn("user", "instruction"), turn("user", "input", optional=True), turn("assistant", "output")], {"system": "s", "instruction": "x", "output": "y"}, {"instruction": "x", "output": "y"}, {"instruction": "x", "input": "i", "output": "y"})
+        .register([turn("user", "question"), turn("assistant", "answer")], {"question": "x", "answer": "y"})
     )
 
 
-SCHEMA = "conv_id long, layout string, turns array<struct<role:string,text:string>>, formatted string, loss array<struct<start:int,stop:int>>"
+SCHEMA = "conv_id long, layout string, mapped boolean, turns array<struct<role:string,text:string>>, formatted string, loss array<struct<start:int,stop:int>>"
 
 
 def format_records(records: DataFrame, layouts: Layouts | None = None, id_col: str = "conv_id", json_col: str = "record") -> DataFrame:
-    """conv_id, layout (fingerprint), turns, formatted, loss: one row per record.
+    """conv_id, layout (fingerprint), mapped, turns, formatted, loss: one row per record.
 
-    A null, empty or malformed record has a null layout, and like one of an unknown layout null turns, formatted and loss.
-    Ids may be null or repeated; other columns are not returned. Each record is handled on its own, so no row waits for
-    another one's.
+    `mapped` tells whether a mapping fits the record; if none does, the record is one turn of role `record`, its JSON as text,
+    which has no loss. A malformed record has a null layout and is kept the same way, as it is; a null or empty one has no
+    turns. Ids may be null or repeated, as may whole rows; other columns are not returned; an empty table gives no rows. Each
+    record is handled on its own, so no row waits for another one's, and has to fit in a task.
     """
     layouts = layouts or common_layouts()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict = {}
         for b in batches:
             rows = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
                     record = json.loads(text or "")
                 except ValueError:
-                    rows.append((i, None, None, None, None))
-                    continue
-                turns = layouts.turns(record)
-                done, loss = (None, None) if turns is None else render(turns)
-                rows.append((i, fingerprint(record), turns, done, loss))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            turns = [None if t is None else [{"role": r, "text": x} for r, x in t] for t in cols[2]]
-            loss = [None if t is None else [{"start": a, "stop": z} for a, z in t] for t in cols[4]]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(turns, pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))), pa.array(cols[3], pa.string()), pa.array(loss, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))], ["conv_id", "layout", "turns", "formatted", "loss"])
+                    layout, turns, mapped = None, ([("record", text)] if text else []), False
+                else:
+                    layout, (turns, mapped) = fingerprint(record), layouts.turns(record, seen)
+                rows.append((i, layout, mapped, turns, *render(turns)))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            turns = [[{"role": r, "text": x} for r, x in t] for t in cols[3]]
+            loss = [[{"start": a, "stop": z} for a, z in t] for t in cols[5]]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.bool_()), pa.array(turns, pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))), pa.array(cols[4], pa.string()), pa.array(loss, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))], ["conv_id", "layout", "mapped", "turns", "formatted", "loss"])
 
-    return records.select(F.col(id_col).cast("long").alias("conv_id"), F.col(json_col).alias("record")).mapInArrow(run, SCHEMA)
+    return records.select(F.col(id_col).cast("long").alias("conv_id"), F.col(json_col).alias("record")).mapInArrow(lean(run), SCHEMA)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of formatted conversations, made from `formatted` and `loss` alone: conv_id, n_turns, turns_sha256 (role,
     newline, text, newline of every turn), loss_chars and loss_sha256 (unescaped text under the mask), formatted_chars.
-    Rows without a formatted text (unknown layouts) have null digests."""
+    Rows without a formatted text have null digests."""
 
     def run(batches):
         for b in batches:
@@ -193,7 +222,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.select("conv_id", "formatted", "loss").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select("conv_id", "formatted", "loss").mapInArrow(lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def records_of_turns(turns: DataFrame) -> DataFrame:
@@ -201,7 +230,8 @@ def records_of_turns(turns: DataFrame) -> DataFrame:
     prompt and response, one with a system turn before them as instruction and output, any other as messages.
 
     Turns come by turn number, then role and text; a null role or text is empty; rows of a null conv_id are one
-    conversation. A conversation is one row, so it has to fit in a task; conversations are split among tasks.
+    conversation; an empty table gives no rows. A conversation is one row, so it has to fit in a task; conversations are
+    split among tasks.
     """
     blank = F.lit("")
     item = F.struct(F.col("turn"), F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("content"))
