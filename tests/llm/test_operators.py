@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavemill.llm import ann, chat, jaccard_join, kernels, langid, lm_score, mixing, packing, queries, shard, shared, token_rollup, winnow
+from wavemill.llm import ann, chat, jaccard_join, kernels, langid, lm_score, mixing, packing, queries, shard, shared, sql, token_rollup, tokens, winnow
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, sid long, label string, copies int, share long, key string, part int, bucket int"
 
@@ -27,7 +27,7 @@ def odd_rows(seed=0):
     base = prose(rng, 120)
     near = base.split()
     near[60] = "changed"
-    texts = [base, base, " ".join(near), " ".join([*near[:100], "x", "y"]), "", None, " \t\n", "one", "One", "two words", "one two three four", "ä ß ÑÉ 12 !?", prose(rng, 6000), base.upper(), *[prose(rng, rng.randint(1, 90)) for _ in range(20)]]
+    texts = [base, base, " ".join(near), " ".join([*near[:100], "x", "y"]), "", None, " \t\n", "one", "One", "two words", "one two three four", "ä ß ÑÉ 12 !?", "a <|endoftext|> b <|ENDOFTEXT|>", prose(rng, 6000), base.upper(), *[prose(rng, rng.randint(1, 90)) for _ in range(20)]]
     rows = [(i, t, rng.choice(["en", "fr", None]), rng.choice(["src0", "src1", None]), None, 1, 2, "x", 3, 4, "k", 5, 6) for i, t in enumerate(texts)]
     rows += [rows[0], rows[0], (None, base, "en", "src0", 0, 0, 0, "", 0, 0, "", 0, 0), (None, None, None, None, None, None, None, None, None, None, None, None, None), (0, "same id", "en", "src0", 0, 0, 0, "", 0, 0, "", 0, 0)]
     return rows
@@ -141,39 +141,85 @@ def brute_shares(children, goal):
     return share
 
 
-@pytest.mark.parametrize("budget", [0.3, 1.0, 700, 10**9])
-def test_mixing(docs, budget):
-    weights = {"domain": {"0": 3, "1": 1}, "lang": {"en": 2, "fr": 5}, "source": {}}
-    got = mixing.mix(docs, budget, F.expr("right(source, 1)"), token_rollup.quarter_count(), weights, 1, 3, 5).collect()
-    rows = [(r.doc_id, r.source or "(none)", r.lang or "(none)", (len((r.text or "").encode()) + 3) // 4) for r in docs.collect()]
+def brute_mix(rows, budget, weights, epochs, seed):
+    """(copies of each row, share by leaf) for rows (id, source, lang, tokens)."""
+    rows = [(i, s or "(none)", l or "(none)", t) for i, s, l, t in rows]
     leaves = Counter()
     for _, s, l, t in rows:
         leaves[(s if s == "(none)" else s[-1]), l, s] += t
     leaves = {k: v for k, v in leaves.items() if v}
     goal = int(sum(leaves.values()) * budget) if isinstance(budget, float) else budget
-    stock = lambda *p: sum(3 * v for k, v in leaves.items() if k[: len(p)] == p)
+    stock = lambda *p: sum(epochs * v for k, v in leaves.items() if k[: len(p)] == p)
     share = {}
     top = brute_shares({d: (weights["domain"].get(d, 1), stock(d)) for d in {k[0] for k in leaves}}, goal)
     for d, g in top.items():
         mid = brute_shares({l: (weights["lang"].get(l, 1), stock(d, l)) for l in {k[1] for k in leaves if k[0] == d}}, g)
         for l, h in mid.items():
-            for s, x in brute_shares({s: (1, stock(d, l, s)) for s in {k[2] for k in leaves if k[:2] == (d, l)}}, h).items():
+            for s, x in brute_shares({s: (weights["source"].get(s, 1), stock(d, l, s)) for s in {k[2] for k in leaves if k[:2] == (d, l)}}, h).items():
                 share[d, l, s] = x
-    assert sum(share.values()) == min(goal, 3 * sum(leaves.values()))
-    want = []
+    assert sum(share.values()) == min(goal, epochs * sum(leaves.values()))
+    by_leaf = defaultdict(list)
+    for r in rows:
+        by_leaf[r[1:3]].append(r)
+    out = []
     for i, s, l, t in rows:
         k = ((s if s == "(none)" else s[-1]), l, s)
         if not t:
-            want.append((i, t, 0))
+            out.append(0)
             continue
         whole, rest = divmod(share[k], leaves[k])
-        key = lambda j: hashlib.md5(f"5|{whole}|{'' if j is None else j}".encode()).hexdigest()
-        before = sum(u for j, s2, l2, u in rows if (s2, l2) == (s, l) and key(j) < key(i))
-        want.append((i, t, whole + (before < rest)))
-    assert bag((r.doc_id, (len((r.text or "").encode()) + 3) // 4, r._copies) for r in got) == bag(want)
+        key = lambda j: hashlib.md5(f"{seed}|{whole}|{'' if j is None else j}".encode()).hexdigest()
+        before = sum(u for j, _, _, u in by_leaf[s, l] if key(j) < key(i))
+        out.append(whole + (before < rest))
+    return out
+
+
+@pytest.mark.parametrize("budget", [0.3, 1.0, 700, 10**9])
+@pytest.mark.parametrize("leaves", [10_000, 0])
+def test_mixing(docs, budget, leaves, monkeypatch):
+    """Also where the leaves are too many to be broadcast."""
+    monkeypatch.setattr(mixing, "MOST_LEAVES", leaves)
+    weights = {"domain": {"0": 3, "1": 1}, "lang": {"en": 2, "fr": 5}, "source": {}}
+    got = mixing.mix(docs, budget, F.expr("right(source, 1)"), token_rollup.quarter_count(), weights, 1, 3, 5).collect()
+    rows = [(r.doc_id, r.source, r.lang, (len((r.text or "").encode()) + 3) // 4) for r in docs.collect()]
+    copies = brute_mix(rows, budget, weights, 3, 5)
+    assert bag((r.doc_id, (len((r.text or "").encode()) + 3) // 4, r._copies) for r in got) == bag((i, t, c) for (i, _, _, t), c in zip(rows, copies))
     assert {"copies", "share", "_copies", "_share"} <= set(got[0].asDict())
 
 
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_mix_query(spark, tokenizer):
+    """The registered query, its tokens by the tokenizer itself."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    n = [len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) for r in docs]
+    copies = brute_mix([(r.doc_id, r.source, r.lang, t) for r, t in zip(docs, n)], queries.MIX_BUDGET, queries.MIX_WEIGHTS, queries.MIX_EPOCHS, queries.MIX_SEED)
+    got = queries.op2_mix(spark, SF).collect()
+    assert bag((r.doc_id, r.tokens, r.copies) for r in got) == bag((r.doc_id, t, c) for r, t, c in zip(docs, n, copies))
+
+
+def test_mix_sql(spark):
+    """With tokens of four bytes the mixture equals that of DuckDB, on a larger table."""
+    import duckdb
+
+    at = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{at}/documents.parquet'")
+    want = con.execute(sql.mix_by_bytes(queries.MIX_WEIGHTS, queries.MIX_BUDGET, queries.MIX_EPOCHS, queries.MIX_SEED)).fetchall()
+    docs = spark.read.parquet(f"{at}/documents.parquet").withColumn("tokens", token_rollup.quarter_count())
+    got = queries.mixed(docs).select("doc_id", "lang", "source", "copies", "share").collect()
+    assert bag(map(tuple, got)) == bag(want)
+
+
 def test_mixing_empty(empty):
     assert mixing.mix(empty, 0.5, F.col("source"), token_rollup.quarter_count()).collect() == []
 
@@ -229,6 +275,71 @@ def test_language_held_out(spark):
     assert set(shares) == {"en", "fr"} and abs(shares["en"] - 0.7) < 0.06
 
 
+def brute_shares_of(text, table, steps=25, least=0.02):
+    """The same estimate with dictionaries: EM over all languages, then over nested sets of the strongest, by BIC."""
+    x = [c + 32 if 65 <= c <= 90 else c for c in text]
+    x = [32 if c < 0x21 else c for c in x]
+    x = [c + 32 if k and x[k - 1] == 0xC3 and 0x80 <= c < 0x9F else c for k, c in enumerate(x)]
+    count = Counter(((x[k] << 16 | x[k + 1] << 8 | x[k + 2]) * 2654435761 % 2**32) >> 16 for k in range(len(x) - 2))
+    total = sum(count.values())
+
+    def em(langs):
+        share = dict.fromkeys(langs, 1 / len(langs))
+        for _ in range(steps if len(langs) > 1 else 0):
+            new = dict.fromkeys(langs, 0.0)
+            for g, c in count.items():
+                p = sum(share[k] * float(table[g, k]) for k in langs)
+                for k in langs:
+                    new[k] += c * share[k] * float(table[g, k]) / p
+            new = {k: v / total for k, v in new.items()}
+            done = max(abs(new[k] - share[k]) for k in langs) < 1e-3
+            share = new
+            if done:
+                break
+        return share, sum(c * math.log(sum(share[k] * float(table[g, k]) for k in langs)) for g, c in count.items())
+
+    share, _ = em(range(table.shape[1]))
+    order = [k for k in sorted(share, key=lambda k: -share[k]) if share[k] >= least]
+    best = None
+    for m in range(1, len(order) + 1):
+        s, ll = em(order[:m])
+        value = ll / 3 - 0.5 * (m - 1) * math.log(total / 3 + 1)
+        if best is not None and value <= best[0]:
+            break
+        best = value, s
+    return best[1]
+
+
+def test_language_brute_force(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    langs, table = langid.train(d)
+    texts = [r.text for r in d.where("length(text) between 3 and 600").orderBy("doc_id").limit(40).collect()]
+    texts += [a[:200] + " " + b[:150] for a, b in zip(texts, texts[7:])] + ["ÀÉ ñandú", "abc", "zz zz zz zz"]
+    for t in texts:
+        want = brute_shares_of(t.encode(), table)
+        got = dict(langid.shares_of(np.frombuffer(t.encode(), np.uint8), table))
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-3 for k in want), t
+
+
+def test_language_many(spark):
+    """Hundreds of languages are all learned, in a table of the same size."""
+    rng = random.Random(6)
+    own = {f"l{k}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for k in range(300)}
+    rows = [(k, " ".join(rng.choice(w) for _ in range(60)), lang) for k, (lang, w) in enumerate(own.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    model = langid.train(docs)
+    assert len(model[0]) == 300 and model[1].size <= 1 << langid.CELLS and langid.bits_of(4) == langid.BITS
+    got = langid.identify(docs, model, ["lang"]).collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.98
+
+
+def test_language_names(docs):
+    model = langid.train(docs)
+    got = langid.identify(docs.select("doc_id", "text", F.lit(7).alias("score"), F.lit("x").alias("languages")), model, ["doc_id", "score", "languages"])
+    assert got.columns == ["doc_id", "score", "languages", "lang_pred", "_score", "_languages"]
+    assert {(r.score, r.languages) for r in got.collect()} == {(7, "x")} and got.count() == docs.count()
+
+
 def test_language_odd(docs, empty):
     model = langid.train(docs)
     got = langid.identify(docs, model, docs.columns).collect()
@@ -250,7 +361,7 @@ def test_rollup(spark, docs, tmp_path):
     assert r.totals().collect() == []
     v = {"words-1": token_rollup.word_count(), "bytes4-1": token_rollup.quarter_count()}
     insert, gone = token_rollup.change_log(docs, "insert", v), token_rollup.change_log(docs.where("doc_id < 10"), "delete", v)
-    fresh = token_rollup.change_log(docs, "revise", {"words-1": F.lit(1).cast("long")}, {"words-1": token_rollup.word_count()})
+    fresh = token_rollup.change_log(docs, "revise", {"words-1": F.lit(1).cast("long")}, {"words-1": token_rollup.word_count()}, old_text="text")
     want = Counter()
     for x in docs.collect():
         for t, n in (("words-1", len(re.findall(r"[^\x20\x09-\x0D]+", x.text or ""))), ("bytes4-1", (len((x.text or "").encode()) + 3) // 4)):
@@ -278,6 +389,20 @@ def test_rollup(spark, docs, tmp_path):
         r.commit("base-1", insert)
 
 
+def test_rollup_query(spark, tokenizer):
+    """The registered query against counts by the tokenizer itself of the texts as they are in the end."""
+    want = Counter()
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        if r.doc_id % 11 == 5 and r.doc_id % 7 != 3:
+            continue
+        text = re.sub("[0-9]", "", r.text) if r.doc_id % 7 == 3 and r.text is not None else r.text or ""
+        for version, n in (("words-1", len(re.findall(r"[^\x20\x09-\x0D]+", text))), ("word-bpe-49k", len(tokenizer.encode(text, add_special_tokens=False).ids))):
+            for c, v in (("docs", 1), ("tokens", n), ("bytes", len(text.encode()))):
+                want[r.source, r.lang, version, c] += v
+    got = {(r.source, r.lang, r.tokenizer, c): r[c] for r in queries.op5_token_rollup(spark, SF).collect() for c in ("docs", "tokens", "bytes")}
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+
+
 # op 6
 
 TRICKY = ["", "\\", "\\\\", "### user: x </turn>\n", r"\### Assistant: </turn> ok", "a </turn>\n### assistant: b", ":<#\\:", "\n\n", "é  😀", " "]
@@ -296,15 +421,33 @@ def test_chat_layouts(spark):
     import json
 
     cases = [({"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]}, [("user", "a"), ("assistant", "b")]), ({"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}, [("user", "a"), ("assistant", "b")]), ({"prompt": "p", "response": None}, [("user", "p"), ("assistant", "")]), ({"instruction": "i", "output": "o"}, [("user", "i"), ("assistant", "o")]), ({"messages": []}, [])]
-    rows = [(k, json.dumps(c)) for k, (c, _) in enumerate(cases)] + [(None, None), (8, "not json"), (9, '{"other": 1}'), (1, json.dumps(cases[0][0]))]
+    rows = [(k, json.dumps(c)) for k, (c, _) in enumerate(cases)] + [(None, None), (8, "not json"), (9, '{"other": 1}'), (10, ""), (1, json.dumps(cases[0][0]))]
     got = chat.format_records(spark.createDataFrame(rows, "conv_id long, record string"))
     by = {r.conv_id: r for r in got.collect() if r.conv_id != 1}
     for k, (_, turns) in enumerate(cases):
         if k != 1:
             assert [tuple(t) for t in by[k].turns] == turns
-    assert by[None].layout is None and by[8].layout is None and by[9].layout and by[9].turns is None
+    assert by[None].layout is None and by[None].turns == [] and by[10].turns == []
+    assert by[8].layout is None and [tuple(t) for t in by[8].turns] == [("record", "not json")] and not by[8].mapped
+    assert by[9].layout and [tuple(t) for t in by[9].turns] == [("record", '{"other": 1}')] and not by[9].mapped and by[0].mapped
     assert chat.fingerprint({"a": [{"b": 1}, {"c": 2}]}) == chat.fingerprint({"a": [{"c": 5}, {"b": None}, {"b": 1}]}) != chat.fingerprint({"a": {"b": 1}})
-    assert {r.n_turns for r in chat.read_back(got.where("conv_id = 9")).collect()} == {None}
+    assert [(r.n_turns, r.loss_chars) for r in chat.read_back(got.where("conv_id = 9")).collect()] == [(1, 0)]
+
+
+def test_chat_unregistered():
+    """Layouts of other fingerprints are mapped by the paths that a mapping requires."""
+    known = chat.common_layouts()
+    for record, turns in (
+        ({"id": 3, "messages": [{"role": "user", "content": "a", "name": "n"}, {"role": "assistant", "content": None}]}, [("user", "a"), ("assistant", "")]),
+        ({"instruction": "i", "input": "x", "output": "o", "meta": {"a": [1]}}, [("user", "i"), ("user", "x"), ("assistant", "o")]),
+        ({"prompt": "p", "completion": "c"}, [("user", "p"), ("assistant", "c")]),
+        ({"prompt": "p", "response": "r", "score": 1}, [("user", "p"), ("assistant", "r")]),
+        ({"messages": [{"role": "user", "content": ["a", 1]}]}, [("user", '["a", 1]')]),
+    ):
+        assert known.turns(record) == (turns, True)
+    for record in ({"messages": [{"role": "user"}]}, {"prompt": "p"}, [1, 2], 5):
+        (turn,), mapped = known.turns(record)
+        assert not mapped and turn[0] == "record"
 
 
 def test_chat_table(spark):
@@ -421,6 +564,35 @@ def test_nearest(spark):
     assert ann.nearest(v.where("false"), v.where("false")).collect() == []
 
 
+def test_nearest_cells(spark, monkeypatch):
+    """Many small cells, each dealt to several tasks, and more neighbours wanted than there are."""
+    for name, n in (("CELL_ROWS", 40), ("BLOCK", 16), ("QUERIES", 8)):
+        monkeypatch.setattr(ann, name, n)
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.standard_normal((20, 16)), 50, 0) + 0.2 * rng.standard_normal((1000, 16))
+    v = spark.createDataFrame([(i, [float(y) for y in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    by = defaultdict(list)
+    for r in ann.nearest(v, v.where("vec_id % 50 = 0")).collect():
+        by[r.query_id].append(r.vec_id)
+    best = lambda q: [k for k in np.argsort(-(u @ u[q])).tolist() if k != q]
+    assert len(by) == 20 and np.mean([len(set(by[q]) & set(best(q)[:5])) / 5 for q in by]) > 0.9
+    got = ann.nearest(v.where("vec_id < 200"), v.where("vec_id = 0"), top=300).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [k for k in best(0) if k < 200] and [r["rank"] for r in got] == list(range(1, 200))
+
+
+def test_nearest_lengths(spark):
+    """Any number of lengths, and a fixed choice among rows of one id."""
+    rows = [(100 * d + k, [float(1 + (k * j) % 5) for j in range(d)]) for d in range(1, 21) for k in range(3)]
+    rows += [(5000, [3.0, 1.0]), (5000, [1.0, 0.0]), (5000, [9.0, 9.0, 9.0]), (5001, [1.0, 0.1])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for parts in (1, 4):
+        got = ann.nearest(v.repartition(parts), v.where("vec_id % 100 = 0 or vec_id > 4999").repartition(parts), top=1).collect()
+        assert len(got) == 22
+        by = {r.query_id: r for r in got}
+        assert by[5001].vec_id == 5000 and abs(by[5001].score - 1 / math.sqrt(1.01)) < 1e-12
+
+
 def test_parallel_residuals():
     """The anisotropic loss leaves less parallel residual than the plain one."""
     rng = np.random.default_rng(1)
@@ -462,19 +634,16 @@ def test_best_fit_rule():
         packing.BestFit(5).put(6)
 
 
-@pytest.mark.parametrize("most", [16, 2048])
-def test_packing(docs, empty, most):
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    got = packing.pack_documents(docs, most, with_ids=True).collect()
+@pytest.mark.parametrize("most,open_bins", [(16, 3), (16, 64), (2048, 64)])
+def test_packing(spark, docs, empty, tokenizer, most, open_bins):
+    got = packing.pack_documents(docs, most, with_ids=True, open_bins=open_bins).collect()
     want = []
     for r in docs.collect():
-        ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, 0]
+        ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0]
         for p, s in enumerate(range(0, len(ids), most)):
             part = ids[s : s + most]
             want.append((r.doc_id, p, s, len(part), zlib.crc32(np.array(part, "<u4").tobytes()), part))
+    assert any(49407 in w[5] for w in want)
     assert bag((r.doc_id, r.piece, r.start, r.length, r.ids_crc32, list(r.ids)) for r in got) == bag(want)
     seqs = defaultdict(list)
     for r in got:
@@ -485,18 +654,55 @@ def test_packing(docs, empty, most):
             assert o == end
             end += n
         assert end <= most
-    assert len(seqs) <= -(-sum(w[3] for w in want) // most) + 2
+    # the same order, packed with a list of bins
+    keys = docs.select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")).distinct()
+    order = {(r[0], r[1]): r[2] for r in keys.select("doc_id", "text_crc32", F.xxhash64("doc_id", "text_crc32", F.lit(0x5EED))).collect()}
+    free, closed = {}, 0
+    stream = sorted(got, key=lambda r: (order[r.doc_id, r.text_crc32], r.doc_id is not None, r.doc_id or 0, r.piece))
+    count = 0
+    for r in stream:
+        fits = [(f, b) for b, f in free.items() if f >= r.length]
+        if fits:
+            f, b = min(fits, key=lambda x: x[0])
+        else:
+            if len(free) == open_bins:
+                del free[min(free, key=free.get)]
+                closed += 1
+            f, b = most, count
+            count += 1
+        free[b] = f - r.length
+        if not free[b]:
+            del free[b]
+    assert len(seqs) == count and (open_bins > 3 or closed > 10)
     assert packing.pack_documents(empty).collect() == []
 
 
-def test_word_tokenizer_is_exact():
+def test_packing_names(docs):
+    x = packing.token_pieces(docs, 16).withColumns({"order": F.lit(1), "group": F.lit(2), "offset": F.lit(3), "a b": F.lit("c")})
+    got = packing.pack(x, 3, 16)
+    assert got.columns == [*x.columns, "sequence_id", "_offset"] and got.count() == x.count() and {(r.order, r.group, r.offset, r["a b"]) for r in got.collect()} == {(1, 2, 3, "c")}
+
+
+def test_bound_binds(spark):
+    """With the registered parameters bins are closed for the bound, and the sequences stay within 2 % of the least number."""
+    lengths = [r.length for r in packing.token_pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()]
+    random.Random(1).shuffle(lengths)
+    bins, closed = packing.BestFit(2048, packing.OPEN_BINS), 0
+    for n in lengths:
+        full, before = bins.open == bins.most, bins.next
+        bins.put(n)
+        closed += full and bins.next > before
+    assert closed > 100 and bins.next <= 1.03 * sum(lengths) / 2048 + packing.OPEN_BINS
+
+
+def test_word_tokenizer_is_exact(tokenizer):
     import pyarrow as pa
 
-    tok = packing.WordTokenizer(__import__("public_tokenizers").path("word_bpe_49k.json"))
-    texts = ["éa.b Don't DON'T 'tis rock'n'roll it's's", "ÜnÏ×a÷b 12ab34 x—y <|endoftext|> a.b,c!?", "é. é ́a ﬁ İstanbul ΣΑΣ ς", " x y　z 日本語テキスト。 naïve", "a" * 5000, "".join(map(chr, range(32, 1200)))]
+    tok = tokens.WordTokenizer(__import__("public_tokenizers").path("word_bpe_49k.json"))
+    texts = ["éa.b Don't DON'T 'tis rock'n'roll it's's", "ÜnÏ×a÷b 12ab34 x—y <|endoftext|> a.b,c!?", "é. é ́a ﬁ İstanbul ΣΑΣ ς", " x y　z 日本語テキスト。 naïve", "a" * 5000, "".join(map(chr, range(32, 1200))), "<|endoftext|>", "don<|startoftext|>'t<|endoftext|><|endoftext|>", "é<|endoftext|>\u0301 a<|end", "oftext|>"]
     got, at = tok.encode(*kernels.utf8(pa.array([*texts, None, ""])))
     for k, t in enumerate(texts):
-        assert got[at[k] : at[k + 1]].tolist() == tok.tok.encode(t, add_special_tokens=False).ids, t[:40]
+        assert got[at[k] : at[k + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t[:40]
 
 
 # op 10

@@ -3,7 +3,7 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from wavemill.llm import jaccard_join, langid, packing
+from wavemill.llm import jaccard_join, langid, packing, tokens
 from wavemill.llm.queries import mixed
 
 SF = "/root/testdata/sf0.001"
@@ -26,12 +26,12 @@ def test_stages(spark, tmp_path):
             kept = {r.doc_id for r in out.collect()}
             assert kept == {r.doc_id for r in found.collect() if r.n_shingles == 0 or r.component_id == r.doc_id} and len(kept) == after < before
         elif name == "mixture":
-            want = {r.doc_id: r.copies for r in mixed(docs).collect() if r.copies}
+            want = {r.doc_id: r.copies for r in mixed(tokens.with_token_counts(docs, "tokens")).collect() if r.copies}
             assert {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()} == want
         else:
-            tokens = packing.token_pieces(docs).agg(F.sum("length"), F.count("*")).first()
+            pieces = packing.token_pieces(docs).agg(F.sum("length"), F.count("*")).first()
             seqs = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
-            assert after == tokens[1] and seqs.agg(F.sum("n")).first()[0] == tokens[0]
+            assert after == pieces[1] and seqs.agg(F.sum("n")).first()[0] == pieces[0]
             assert seqs.where("n > 2048 or n <> end").count() == 0
         docs = out
 

@@ -9,6 +9,8 @@ partitioning; the two tables that decide are one row per node and one row per (l
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,11 +48,12 @@ def _shares(children: DataFrame, family: list[str]) -> DataFrame:
     return x.withColumn("share", F.when(first, F.least("stock", F.col("share") + F.col("rest") - given)).otherwise(F.col("share")))
 
 
-def budgets(leaves: DataFrame, budget: int, weights: dict[str, dict[str, int]], default_weight: int = 1, epochs: int = 4) -> DataFrame:
+def budgets(leaves: DataFrame, budget: int, weights: dict[str, dict[str, int]], default_weight: int = 1, epochs: int = 4, small: Callable[[DataFrame], DataFrame] = lambda t: t) -> DataFrame:
     """leaves (domain, lang, source, tokens) -> the same with `share`, tokens to read of each leaf.
 
     `weights` gives integer weights by level (`domain`, `lang`, `source`) and name; other names (and null, as `(none)`)
-    have `default_weight`; weight 0 leaves a node out. Shares never exceed tokens x epochs.
+    have `default_weight`; weight 0 leaves a node out. Shares never exceed tokens x epochs. `small` is applied to the tables
+    of domains and of languages by domain before they are joined to the leaves (F.broadcast, where their size is checked).
     """
     def weight(level):
         pairs = [F.lit(y) for kv in weights.get(level, {}).items() for y in kv]
@@ -63,9 +66,9 @@ def budgets(leaves: DataFrame, budget: int, weights: dict[str, dict[str, int]],
     total = F.sum("stock").over(Window.partitionBy("root"))
     top = top.withColumn("root", F.lit(0)).withColumn("goal", F.least(F.lit(budget).cast("long"), total))
     a = _shares(top.withColumn("node", F.col("domain")), ["root"]).select("domain", F.col("share").alias("goal"))
-    mid = x.groupBy("domain", "lang").agg(F.max("w_lang").alias("weight"), F.sum("stock").alias("stock")).join(F.broadcast(a), "domain")
+    mid = x.groupBy("domain", "lang").agg(F.max("w_lang").alias("weight"), F.sum("stock").alias("stock")).join(small(a), "domain")
     b = _shares(mid.withColumn("node", F.col("lang")), ["domain"]).select("domain", "lang", F.col("share").alias("goal"))
-    low = x.select("domain", "lang", "source", "tokens", F.col("w_source").alias("weight"), "stock").join(F.broadcast(b), ["domain", "lang"])
+    low = x.select("domain", "lang", "source", "tokens", F.col("w_source").alias("weight"), "stock").join(small(b), ["domain", "lang"])
     return _shares(low.withColumn("node", F.col("source")), ["domain", "lang"]).select("domain", "lang", "source", "tokens", "share")
 
 
@@ -89,9 +92,9 @@ def mix(docs: DataFrame, budget: int | float, domain: Column, tokens: Column, we
     stock = saved(y.groupBy(*leaf).agg(F.sum("tok").alias("tokens")))
     if isinstance(budget, float):
         budget = int((stock.agg(F.sum("tokens")).first()[0] or 0) * budget)
-    shares = budgets(stock, budget, weights or {}, default_weight, epochs)
+    small = F.broadcast if stock.count() <= MOST_LEAVES else lambda t: t  # no table by node has more rows
+    shares = budgets(stock, budget, weights or {}, default_weight, epochs, small)
     shares = saved(shares.withColumn("whole", F.expr("share div tokens")).withColumn("rest", F.expr("share % tokens")))
-    small = (lambda t: F.broadcast(t)) if shares.count() <= MOST_LEAVES else (lambda t: t)
 
     def key(epoch, row_id):
         return F.md5(F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), F.coalesce(row_id.cast("string"), F.lit(""))).cast("binary"))

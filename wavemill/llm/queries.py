@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, jaccard_join, langid, lm_score, mixing, packing, shard, token_rollup, winnow
-from .shared import shared_path
-from .sql import ORACLE_SQL, op2
+from . import ann, chat, jaccard_join, langid, lm_score, mixing, packing, shard, token_rollup, tokens, winnow
+from .shared import saved, shared_path
+from .sql import ORACLE_SQL
 
 #: Weights of the mixture: by the last character of the source's name (its domain), and by language; other names weigh 1.
 MIX_WEIGHTS = {"domain": {"0": 6, "1": 2, "2": 2, "3": 3, "7": 4}, "lang": {"en": 5, "de": 3, "fr": 2, "es": 2}, "source": {"src0": 3, "src7": 2}}
@@ -27,14 +27,16 @@ def op1_lm_score(spark, sf_dir):
     return out.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("per_word", 6).alias("per_word"))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    domain = F.expr("right(source, 1)")
-    return mixing.mix(docs, MIX_BUDGET, domain, token_rollup.quarter_count(), MIX_WEIGHTS, 1, MIX_EPOCHS, MIX_SEED)
+def mixed(counted: DataFrame) -> DataFrame:
+    """The mixture of rows (doc_id, lang, source, tokens, ...)."""
+    return mixing.mix(counted, MIX_BUDGET, F.expr("right(source, 1)"), F.col("tokens"), MIX_WEIGHTS, 1, MIX_EPOCHS, MIX_SEED)
 
 
 def op2_mix(spark, sf_dir):
-    """How often each document is read, for half of the corpus' tokens in all."""
-    return mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select("doc_id", "lang", "source", "copies", "share")
+    """How often each document is read, for half of the corpus' tokens in all; tokens are those of word_bpe_49k."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    counted = saved(tokens.with_token_counts(docs, "tokens").drop("text"))
+    return mixed(counted).select("doc_id", "lang", "source", "tokens", "copies", "share")
 
 
 def op3_feistel_shard(spark, sf_dir):
@@ -53,19 +55,26 @@ def op4_language(spark, sf_dir):
 
 
 def op5_token_rollup(spark, sf_dir):
-    """Totals after three batches: all documents, then a recount of some and the deletion of others, the last two sent twice."""
+    """Totals by source, language and tokenizer version after three batches: all documents, then new texts (without digits)
+    and so new counts of some, and the deletion of others, the last two sent twice."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    counts = {"words-1": token_rollup.word_count(), "bytes4-1": token_rollup.quarter_count()}
-    revised = {"words-1": token_rollup.word_count(), "bytes4-1": F.octet_length("text").cast("long")}
     rollup = token_rollup.TokenRollup(spark, shared_path(spark, "token-rollup"))
+
+    def counts(text="text", bpe="bpe"):
+        return {"words-1": token_rollup.word_count(text), "word-bpe-49k": F.col(bpe)}
+
+    def counted(rows):
+        return tokens.with_token_counts(rows, "bpe")
+
+    cleaned = tokens.with_token_counts(counted(docs.where("doc_id % 7 = 3").withColumn("new", F.translate("text", "0123456789", ""))), "new_bpe", text_col="new")
     batches = {
-        "b1-load": token_rollup.change_log(docs, "insert", counts),
-        "b2-recount": token_rollup.change_log(docs.where("doc_id % 7 = 3"), "revise", counts, revised),
-        "b3-remove": token_rollup.change_log(docs.where("doc_id % 11 = 5 and doc_id % 7 <> 3"), "delete", counts),
+        "b1-load": token_rollup.change_log(counted(docs), "insert", counts()),
+        "b2-clean": token_rollup.change_log(cleaned, "revise", counts("new", "new_bpe"), counts(), "new", "text"),
+        "b3-remove": token_rollup.change_log(counted(docs.where("doc_id % 11 = 5 and doc_id % 7 <> 3")), "delete", counts()),
     }
-    for name in ("b1-load", "b2-recount", "b2-recount", "b3-remove", "b1-load", "b3-remove"):
+    for name in ("b1-load", "b2-clean", "b2-clean", "b3-remove", "b1-load", "b3-remove"):
         rollup.commit(name, batches[name])
-        if name == "b2-recount":
+        if name == "b2-clean":
             rollup.compact()
     return rollup.totals()
 
@@ -105,4 +114,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE_SQL | {"op2_mix": op2(MIX_WEIGHTS, MIX_BUDGET, MIX_EPOCHS, MIX_SEED)}
+    return dict(ORACLE_SQL)

@@ -7,18 +7,14 @@ _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
 OP1 = f"""
 with d as (select row_number() over () as k, doc_id, {_WORDS} as w from documents),
 t as (select k, i, w[i] as word from d, lateral (select unnest(range(1, len(w) + 1)) as i)),
-wc as (select word, count(*) as c from t group by word),
-lv as (select c, sum(count(*)) over (order by c desc) as upto from wc group by c),
-voc as (select word, wc.c from wc join lv using (c) where upto <= 65535),
 total as (select count(*)::double as n from t),
-u as (select k, i, coalesce(voc.word, chr(0)) as word from t left join voc using (word)),
-cu as (select word, count(*)::double as c from u group by word),
-pairs as (select b.k, a.word as v, b.word as w from u a join u b on a.k = b.k and b.i = a.i + 1),
+cu as (select word, count(*)::double as c from t group by word),
+pairs as (select b.k, a.word as v, b.word as w from t a join t b on a.k = b.k and b.i = a.i + 1),
 cp as (select v, w, count(*) as c from pairs group by v, w),
 s as (
   select k, case when cp.c >= 2 then ln(cp.c::double) - ln(cv.c) else ln(0.4) + ln(cw.c / n) end as x
   from pairs join cp using (v, w) join cu cv on cv.word = v join cu cw on cw.word = w, total
-  union all select k, ln(c / n) from u join cu using (word), total where i = 1),
+  union all select k, ln(c / n) from t join cu using (word), total where i = 1),
 sums as (select k, sum(x) as x from s group by k)
 select doc_id, len(w)::bigint as n_words, round(coalesce(x, 0.0), 4) as log_score, round(x / nullif(len(w), 0), 6) as per_word
 from d left join sums using (k)
@@ -42,7 +38,8 @@ def _shares(source: str, out: str, family: str) -> str:
 {out} as (select * exclude (sh), (case when f = 0 and rn = 1 then least(stock::hugeint, sh + rest - sum(case when f = 0 then sh else 0 end) over (partition by {family})) else sh end)::hugeint as share from {out}_d)"""
 
 
-def op2(weights: dict, budget: float, epochs: int, seed: int) -> str:
+def mix_by_bytes(weights: dict, budget: float, epochs: int, seed: int) -> str:
+    """The mixture with tokens of four bytes each, which SQL can count: (doc_id, lang, source, copies, share)."""
     return f"""
 with x as (select doc_id, lang, source, coalesce(right(source, 1), '(none)') as d, coalesce(lang, '(none)') as l, coalesce(source, '(none)') as s,
     coalesce((octet_length(encode(text)) + 3) // 4, 0)::bigint as tok from documents),
@@ -61,12 +58,4 @@ select doc_id, lang, source, (case when tok > 0 then coalesce(whole, 0) + case w
 """
 
 
-OP5 = r"""
-with d as (select source, lang, coalesce(octet_length(encode(text)), 0) as b, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as w,
-    doc_id is not null and doc_id % 7 = 3 as recounted, doc_id is not null and doc_id % 11 = 5 and doc_id % 7 <> 3 as removed from documents),
-t as (select source, lang, 'words-1' as tokenizer, w as tokens, b, recounted, removed from d
-    union all select source, lang, 'bytes4-1', (b + 3) // 4 + case when recounted then (b + 3) // 4 - b else 0 end, b, recounted, removed from d)
-select source, lang, tokenizer, count(*)::bigint as docs, sum(tokens)::bigint as tokens, sum(b)::bigint as bytes from t where not removed group by source, lang, tokenizer
-"""
-
-ORACLE_SQL: dict[str, str] = {"op1_lm_score": OP1, "op5_token_rollup": OP5}
+ORACLE_SQL: dict[str, str] = {"op1_lm_score": OP1}

@@ -101,9 +101,10 @@ class TokenRollup:
         fs.create(p, True).close()
 
 
-def change_log(docs: DataFrame, op, versions: dict, revised_from: dict | None = None) -> DataFrame:
-    """A change for every document and tokenizer version. `versions` names each version's count column; `revised_from`
-    the column of the count before, where op is `revise`."""
-    rows = [F.struct(F.lit(v).alias("tokenizer"), c.alias("tokens"), (revised_from or {}).get(v, F.lit(None).cast("long")).alias("old_tokens")) for v, c in versions.items()]
-    size = F.octet_length("text").cast("long")
-    return docs.select("source", "lang", F.lit(op).alias("op") if isinstance(op, str) else op.alias("op"), size.alias("bytes"), size.alias("old_bytes"), F.explode(F.array(*rows)).alias("v")).select("source", "lang", "op", "bytes", "old_bytes", "v.*")
+def change_log(docs: DataFrame, op, versions: dict, old_versions: dict | None = None, text: str = "text", old_text: str | None = None) -> DataFrame:
+    """A change for every document and tokenizer version. `versions` names each version's count column; where op is `revise`,
+    `old_versions` and `old_text` name the counts and the text that were inserted before."""
+    none = F.lit(None).cast("long")
+    rows = [F.struct(F.lit(v).alias("tokenizer"), c.alias("tokens"), (old_versions or {}).get(v, none).alias("old_tokens")) for v, c in versions.items()]
+    size, old = F.octet_length(text).cast("long"), F.octet_length(old_text).cast("long") if old_text else none
+    return docs.select("source", "lang", (F.lit(op) if isinstance(op, str) else op).alias("op"), size.alias("bytes"), old.alias("old_bytes"), F.explode(F.array(*rows)).alias("v")).select("source", "lang", "op", "bytes", "old_bytes", "v.*")
