@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.llm import jaccard_join, langid, packing
+from wavemill.llm import jaccard_join, langid, packing, tokens
 from wavemill.llm.queries import mixed
 from wavemill.llm.shared import shared_path
 
@@ -32,8 +32,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents to meet the target weights."""
-    out = mixed(docs).where("copies > 0")
+    """Repeats or leaves out documents to meet the target weights, counted in tokens. Copies are rows like any repeated ones;
+    documents without tokens are left out, repeated ids are read alike."""
+    tokens.with_token_counts(docs.select(*COLUMNS), "tokens").write.parquet(at := shared_path(spark, "counted"))
+    out = mixed(spark.read.parquet(at)).where("copies > 0")
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
