@@ -7,9 +7,11 @@
 3. In a group, a signature tree: leaves and inner nodes hold OR-combined bitmaps of shingles and ranges of set sizes. Pairs
    of nodes are traversed together; a pair is dropped when its sizes differ too much, when bitmaps leave too little
    overlap, or when all below has one label already.
-4. Surviving pairs are verified on the whole sets. A first round proposes a spanning forest of each group only; its links
-   are merged into labels. A second one finds the classes that survive with a class of another label, and with finer
-   bitmaps of these proposes all their surviving pairs of different labels.
+4. Surviving pairs are verified on the whole sets. A first round proposes a spanning forest of each group only, or of each
+   chunk of a large group; its links are merged into labels. In large groups a few members of every label then meet, whose
+   links merge the labels of the chunks, so that a group of near copies is settled without all its chunks meeting. The last
+   round drops the groups of one label, finds in the others the classes that survive with a class of another label, and with
+   finer bitmaps of these proposes all their surviving pairs of different labels.
 """
 
 from __future__ import annotations
@@ -18,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import U64, mix, shingles
-from .shared import components, saved
+from .kernels import U64, lean, lean_group, mix, shingles
+from .shared import batches_of, components, saved
 
 WORDS, PERCENT = 5, 80
 #: Shingles held by at least so many classes come last in the order; the most frequent of them, 8 bytes each.
@@ -34,6 +36,12 @@ COARSE, FINE = 2, 16
 #: Rows of smaller groups that are worked on together.
 UNIT = 10_000
 LEAF, FANOUT = 16, 8
+#: Members that stand for a label of a large group when its chunks' labels are merged.
+STAND = 32
+#: Sets that a task remembers to have passed on; beyond, it begins anew and repeats are taken out later.
+SEEN = 100_000
+#: Rows of an Arrow batch of texts, and of one of pairs of whole sets.
+TEXTS, PAIRS = 2000, 200
 
 
 def set_id(s: np.ndarray) -> int:
@@ -253,13 +261,13 @@ def _classes(docs: DataFrame, words: int) -> DataFrame:
                     parts.append(s)
                     held += len(s)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(bits, pa.binary())], ["kind", "doc_id", "n", "sid", "bits"])
-            if held > 6_000_000:
+            if held > 2_000_000:
                 yield counted()
                 seen.clear()
                 held = 0
         yield counted()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "kind int, doc_id long, n long, sid long, bits binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(lean(run), "kind int, doc_id long, n long, sid long, bits binary")
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
@@ -269,14 +277,14 @@ def _prefixes(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
             tokens, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for s in shingles(b.column(0), words):
                 if len(s) and (sid := set_id(s)) not in seen:
-                    if len(seen) > 500_000:
+                    if len(seen) > SEEN:
                         seen.clear()
                     seen.add(sid)
                     tokens.append(prefix(s, frequent.value, percent))
                     ids.append(np.full(len(tokens[-1]), sid, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(ids))], ["token", "sid"])
 
-    return docs.select("text").mapInArrow(run, "token long, sid long")
+    return docs.select("text").mapInArrow(lean(run), "token long, sid long")
 
 
 def _groups(prefixes: DataFrame) -> DataFrame:
@@ -319,7 +327,7 @@ def _groups(prefixes: DataFrame) -> DataFrame:
                 for k in np.flatnonzero(n > 1).tolist():
                     g = int(lists[k])
                     if g not in seen:
-                        if len(seen) > 1_000_000:
+                        if len(seen) > SEEN:
                             seen.clear()
                         seen.add(g)
                         sids.append(sid[at[k] : at[k] + n[k]])
@@ -331,7 +339,7 @@ def _groups(prefixes: DataFrame) -> DataFrame:
             yield emit(np.concatenate((tail[0], t)), np.concatenate((tail[1], s)), False)
         yield emit(*tail, True)
 
-    return prefixes.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(run, "gid long, sid long").distinct()
+    return prefixes.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(lean(run), "gid long, sid long").distinct()
 
 
 def _sets(docs: DataFrame, words: int, involved: DataFrame) -> DataFrame:
@@ -352,7 +360,7 @@ def _sets(docs: DataFrame, words: int, involved: DataFrame) -> DataFrame:
                 sid = set_id(s)
                 p = sid % bits
                 if len(s) and sid not in seen and flags[p // 32] >> (p % 32) & 1:
-                    if len(seen) > 500_000:
+                    if len(seen) > SEEN:
                         seen.clear()
                     seen.add(sid)
                     rows.append((sid, len(s), s.tobytes(), bitmap(s, FINE).tobytes()))
@@ -366,25 +374,38 @@ def _sets(docs: DataFrame, words: int, involved: DataFrame) -> DataFrame:
         cols = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["sid", "n", "shingles", "bits"])
 
-    rows = docs.select("text").mapInArrow(run, "sid long, n long, shingles binary, bits binary")
-    return rows.join(involved, "sid", "left_semi").dropDuplicates(["sid"])
+    rows = docs.select("text").mapInArrow(lean(run), "sid long, n long, shingles binary, bits binary")
+    out = saved(rows.join(involved, "sid", "left_semi").dropDuplicates(["sid"]))
+    held.unpersist()
+    return out
+
+
+def _labelled(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(gid, sid, label); without labels each class is its own."""
+    if labels is None:
+        return groups.withColumn("label", F.col("sid"))
+    return groups.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("gid", "sid", F.coalesce("label", "sid").alias("label"))
+
+
+def _open(groups: DataFrame) -> DataFrame:
+    """(gid, chunks, near) of the groups (gid, sid, label) that have members of several labels."""
+    sizes = groups.groupBy("gid").agg(F.count("*").alias("members"), F.min("sid").alias("least"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return sizes.select("gid", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks"), F.when(F.col("members") > LEAF, F.col("gid")).otherwise(F.col("least")).alias("near"))
 
 
-def _proposed(groups: DataFrame, info: DataFrame, labels: DataFrame | None, what: str, percent: int) -> DataFrame:
-    """(a, b), a < b: pairs that survive the traversal of their group's tree; of `what`, `pairs`, a `forest` of them, or only
-    their `members` (a = b). `info`: (sid, n, bits)."""
+def _proposed(groups: DataFrame, info: DataFrame, what: str, percent: int, across: bool = True) -> DataFrame:
+    """(a, b), a < b: pairs of different labels that survive the traversal of their group's tree; of `what`, `pairs`, a `forest`
+    of them, or only their `members` (a = b). `across`: chunks of large groups meet pairwise, else each by itself. `groups`:
+    (gid, sid, label), `info`: (sid, n, bits)."""
     forest = what == "forest"
-    sizes = groups.groupBy("gid").agg(F.count("*").alias("members"), F.min("sid").alias("least")).where("members > 1")
-    sizes = sizes.select("gid", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks"), F.when(F.col("members") > LEAF, F.col("gid")).otherwise(F.col("least")).alias("near"))
-    info = info.withColumn("label", F.col("sid")) if labels is None else info.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    x = groups.join(sizes, "gid")
+    x = groups.join(_open(groups), "gid")
     own = F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int")
     # chunk i meets chunk j in unit (gid, i, j); groups of one chunk share units
     units = max(1, groups.count() // UNIT)
-    x = x.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    x = x.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)) if across else F.col("own"))
     # small groups with the same smallest member tend to hold the same pairs, which then are made once
     unit = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("near"), F.lit(units))).otherwise(F.col("gid"))
-    x = x.select("gid", unit.alias("unit"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "chunks", "sid").join(info, "sid")
+    x = x.select("gid", unit.alias("unit"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "chunks", "sid", "label").join(info, "sid")
 
     def run(t: pa.Table) -> pa.Table:
         gid, ids, n, labels, own = (t[c].to_numpy() for c in ("gid", "sid", "n", "label", "own"))
@@ -399,7 +420,7 @@ def _proposed(groups: DataFrame, info: DataFrame, labels: DataFrame | None, what
         a, b = zip(*sorted(pairs), strict=True) if pairs else ((), ())
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return x.groupBy("chunks", "unit", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return x.groupBy("chunks", "unit", "i", "j").applyInArrow(lean_group(run), "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, s: DataFrame, percent: int) -> DataFrame:
@@ -415,7 +436,7 @@ def _verified(pairs: DataFrame, s: DataFrame, percent: int) -> DataFrame:
                 keep.append(int((both[1:] == both[:-1]).sum()) * (100 + percent) >= (len(p) + len(q)) * percent)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return x.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return x.select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -427,12 +448,14 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     their shingles.
     """
     spark = docs.sparkSession
-    first = saved(_classes(docs, words))
-    rows = first.where("kind = 0").select("doc_id", "n", "sid")
-    often = first.where("kind = 1").groupBy("sid").agg(F.sum("n").alias("c")).where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "sid").limit(MOST_FREQUENT)
-    frequent = spark.sparkContext.broadcast(np.sort(often.select("sid").toArrow()["sid"].to_numpy().view(np.uint64)))  # 1.6 MB at most
-    groups = saved(_groups(_prefixes(docs, words, percent, frequent)))
-    links = _links(docs, first, groups, words, percent)
+    with batches_of(spark, TEXTS):
+        first = saved(_classes(docs, words))
+        rows = first.where("kind = 0").select("doc_id", "n", "sid")
+        often = first.where("kind = 1").groupBy("sid").agg(F.sum("n").alias("c")).where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "sid").limit(MOST_FREQUENT)
+        frequent = spark.sparkContext.broadcast(np.sort(often.select("sid").toArrow()["sid"].to_numpy().view(np.uint64)))  # 1.6 MB at most
+        groups = saved(_groups(_prefixes(docs, words, percent, frequent)))
+        frequent.unpersist()
+        links = _links(docs, first, groups, words, percent)
     if links is None:
         label = rows.select("sid").where("false").select(F.col("sid").alias("node"), F.col("sid").alias("label"))
     else:
@@ -449,15 +472,35 @@ def _links(docs: DataFrame, first: DataFrame, groups: DataFrame, words: int, per
         return None
     info = first.where("kind = 0 and bits is not null").select("sid", "n", "bits")
     info = saved(info.join(groups.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]))
-    tried = saved(_proposed(groups, info, None, "forest", percent))
+    tried = saved(_proposed(_labelled(groups, None), info, "forest", percent, across=False))
     if tried.isEmpty():
         return None
-    sets = _sets(docs, words, saved(tried.select(F.explode(F.array("a", "b")).alias("sid")).distinct()))
-    links = saved(_verified(tried, saved(sets), percent))
+    links = _checked(docs, tried, words, percent)
     labels = components(links)
-    left = saved(_proposed(groups, info, labels, "members", percent).select(F.col("a").alias("sid")))
+    large = saved(_open(_labelled(groups, None)).where("chunks > 1").select("gid"))
+    if not large.isEmpty():
+        some = _labelled(groups.join(large, "gid", "left_semi"), labels)
+        stand = F.row_number().over(Window.partitionBy("gid", "label").orderBy(F.xxhash64("sid"), "sid"))
+        some = saved(some.withColumn("r", stand).where(F.col("r") <= STAND).drop("r"))
+        more = saved(_proposed(some, info, "forest", percent).join(tried, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            links, tried = saved(links.unionByName(_checked(docs, more, words, percent))), tried.unionByName(more)
+            labels = components(links)
+    known = saved(_labelled(groups, labels))
+    left = saved(_proposed(known, info, "members", percent).select(F.col("a").alias("sid")))
     if left.isEmpty():
         return links
-    sets = saved(_sets(docs, words, left))
-    rest = _proposed(saved(groups.join(left, "sid", "left_semi")), sets.select("sid", "n", "bits"), labels, "pairs", percent)
-    return links.unionByName(_verified(rest.join(tried, ["a", "b"], "left_anti"), sets, percent))
+    sets = _sets(docs, words, left)
+    rest = _proposed(saved(known.join(left, "sid", "left_semi")), sets.select("sid", "n", "bits"), "pairs", percent)
+    return saved(links.unionByName(_saved_pairs(rest.join(tried, ["a", "b"], "left_anti"), sets, percent)))
+
+
+def _checked(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of the pairs that are links."""
+    sets = _sets(docs, words, saved(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()))
+    return _saved_pairs(pairs, sets, percent)
+
+
+def _saved_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    with batches_of(pairs.sparkSession, PAIRS):
+        return saved(_verified(pairs, sets, percent))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import mix, words
+from .kernels import lean, lean_group, mix, words
 from .shared import saved
 
 #: Words whose counts every task holds at most (16 bits each, 1 MB in all), and words of the dense table (2 MB).
@@ -62,7 +62,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         if held:
             yield batch(*out(held))
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 class Vocabulary:
@@ -110,7 +110,9 @@ def score_documents(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, v
 
     Null and empty texts have no words: log_score 0, per_word null. Null and repeated ids are documents of their own, and
     all copies of a text count. An empty table gives no rows; further columns are ignored. min_count 1 never backs off,
-    since every bigram of the corpus is counted. With a vocabulary size, words beyond it are one unknown word.
+    since every bigram of the corpus is counted. With a vocabulary size, words beyond it are one unknown word. A text may be
+    as long as a row can be. `docs` is read four times and has to give the same rows in the same order each time, as files
+    and checkpoints do: a piece of texts is known by its place.
     """
     if vocabulary_size is not None and vocabulary_size > VOCABULARY:
         raise ValueError(f"a vocabulary of more than {VOCABULARY} words")
@@ -136,7 +138,7 @@ def score_documents(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, v
         at = np.flatnonzero(c)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(c[at])], ["k", "c"])
 
-    table = rows.select("text").mapInArrow(dense, "k int, c long").groupBy("k").agg(F.sum("c").alias("c")).toArrow()  # HEAD x HEAD rows at most
+    table = rows.select("text").mapInArrow(lean(dense), "k int, c long").groupBy("k").agg(F.sum("c").alias("c")).toArrow()  # HEAD x HEAD rows at most
     grid = np.zeros(max(1, head * head))
     grid[table["k"].to_numpy()] = table["c"].to_numpy()
     grid_held = sc.broadcast(grid)
@@ -264,9 +266,9 @@ def score_documents(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, v
         return pa.table([pa.array(ids[k], pa.int64()), pa.array(np.frombuffer(xs[k], np.int64)), pa.array(total)], ["doc_id", "n_words", "log_score"])
 
     schema = "part long, key long, ids array<long>, x binary, y binary, z binary"
-    dealt = rows.mapInArrow(occurrences, schema)
+    dealt = rows.mapInArrow(lean(occurrences), schema)
     if rare >= 0:
-        dealt = dealt.union(counts.mapInArrow(rare_counts, schema))
-    sums = dealt.groupBy("part").applyInArrow(join_counts, "key long, ids array<long>, x binary, y binary")
-    out = sums.groupBy("key").applyInArrow(add_up, "doc_id long, n_words long, log_score double")
+        dealt = dealt.union(counts.mapInArrow(lean(rare_counts), schema))
+    sums = dealt.groupBy("part").applyInArrow(lean_group(join_counts), "key long, ids array<long>, x binary, y binary")
+    out = sums.groupBy("key").applyInArrow(lean_group(add_up), "doc_id long, n_words long, log_score double")
     return out.select("doc_id", "n_words", "log_score", F.expr("log_score / nullif(n_words, 0)").alias("per_word"))

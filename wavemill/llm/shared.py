@@ -2,26 +2,42 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset (tests), a new temporary one is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset and all is on one machine (tests)
+    a new temporary one is set; on a cluster that is an error."""
     sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
-        at = sc.getCheckpointDir()
-        if not at:
-            at = tempfile.mkdtemp(prefix="checkpoint-")
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir is unset; it has to name a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
     return at
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within, Arrow batches have so many rows at most: for frames of wide rows that are run (saved) within."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows as they are now, in the shared folder, without their lineage."""
     shared_dir(df.sparkSession)
@@ -61,7 +77,7 @@ def numbered(df: DataFrame, order: list[Column], name: str, parts: int | None =
     return ranged.join(F.broadcast(before), part).withColumn(name, (F.col(base) + F.col(pos)).cast("long")).drop(part, pos, base)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of edges (a, b): label is the smallest node it is connected with.
 
     Alternates large-star and small-star steps: every round links each node to the smallest of its neighbours, until
@@ -70,7 +86,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     e = saved(e)
     last = None
-    for _ in range(rounds):
+    while True:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
@@ -82,6 +98,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == last:
             break
         last = state
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("b").alias("node"), F.col("a").alias("label")).union(e.select(F.col("a").alias("node"), F.col("a").alias("label"))).distinct()
