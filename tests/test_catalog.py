@@ -43,7 +43,7 @@ def test_query(spark, con, sf_dir, name):
 @pytest.mark.parametrize("name", ["phase_locked_power", "surrogate_shifts"])
 def test_long_channel(spark, tmp_path, name):
     """Spikes beyond sample 60,000 of the channel count too."""
-    x = spark.range(60_500).selectExpr("id as event_id", "'click' as event_type", "cast(id % 101 + if(id > 60000, 500, 0) as double) as value")
+    x = spark.range(60_500).selectExpr("id as event_id", "'click' as event_type", "cast(id % 101 - 40 + if(id > 60000, 500, 0) as double) as value")
     x.write.parquet(f"{tmp_path}/events.parquet")
     df = catalog.queries()[name](spark, str(tmp_path))
     cols = sorted(df.columns)

@@ -32,6 +32,12 @@ class Iir:
             b, a = np.convolve(b, s[:3]), np.convolve(a, s[3:])
         return b, a
 
+    @property
+    def zpk(self) -> tuple[np.ndarray, np.ndarray, float]:
+        """Zeros, poles and gain."""
+        gain = float(np.prod([s[0] if s[0] else 1.0 for s in self.sos]))
+        return np.concatenate([np.roots(np.trim_zeros(s[:3], "f")) for s in self.sos]), np.concatenate([np.roots(s[3:]) for s in self.sos]), gain
+
     def response(self, n: int = 2000, scale: str = "complex", rope: float = -100.0):
         f = np.arange(n) * self.fs / 2 / n
         z = np.exp(-2j * np.pi * f / self.fs)
@@ -46,40 +52,59 @@ class Iir:
         return run_sos(self.sos, x, np.zeros((len(self.sos), 2)))[0]
 
 
-def run_section(s: np.ndarray, x: np.ndarray, z: np.ndarray, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """One section over x from state z (transposed direct form II), by blocks of matrix products: (y, last state)."""
-    b0, b1, b2, _, a1, a2 = s
-    a = np.array([[-a1, 1.0], [-a2, 0.0]])
-    c = np.array([b1 - a1 * b0, b2 - a2 * b0])
-    n = len(x)
-    if not n:
-        return x, z
-    block = min(block, n)
-    powers = [np.eye(2)]
+def run_ba(b: np.ndarray, a: np.ndarray, x: np.ndarray, z: np.ndarray, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """The filter b/a (any order m) over x from state z (m numbers, transposed direct form II), by blocks of matrix products:
+    (y, last state)."""
+    b, a = np.atleast_1d(np.asarray(b, float)), np.atleast_1d(np.asarray(a, float))
+    m = max(len(a), len(b)) - 1
+    b, a = np.pad(b, (0, m + 1 - len(b))) / a[0], np.pad(a, (0, m + 1 - len(a))) / a[0]
+    x = np.asarray(x, float)
+    if m == 0 or not len(x):
+        return b[0] * x, np.asarray(z, float)
+    step = np.zeros((m, m))
+    step[:, 0] = -a[1:]
+    step[: m - 1, 1:] += np.eye(m - 1)
+    c = b[1:] - a[1:] * b[0]
+    n, block = len(x), min(block, len(x))
+    powers = [np.eye(m)]
     for _ in range(block):
-        powers.append(a @ powers[-1])
+        powers.append(step @ powers[-1])
     see = np.array([p[0] for p in powers[:block]])  # y from the state, by step
-    h = np.concatenate(([b0], [powers[k][0] @ c for k in range(block - 1)]))
+    h = np.concatenate(([b[0]], [powers[k][0] @ c for k in range(block - 1)]))
     lag = np.arange(block)[:, None] - np.arange(block)[None]
     toeplitz = np.where(lag >= 0, h[np.maximum(lag, 0)], 0)
     feed = np.array([powers[block - 1 - k] @ c for k in range(block)]).T
     full = n // block * block
     xb = x[:full].reshape(-1, block)
-    y = xb @ toeplitz.T
-    states = np.empty((len(xb), 2))
-    add = xb @ feed.T
+    states, add = np.empty((len(xb), m)), xb @ feed.T
     z = np.asarray(z, float)
-    step = powers[block]
     for k in range(len(xb)):
         states[k] = z
-        z = step @ z + add[k]
-    y = (y + states @ see.T).ravel()
+        z = powers[block] @ z + add[k]
+    y = (xb @ toeplitz.T + states @ see.T).ravel()
     if full < n:
-        tail, z = run_section(s, x[full:], z, n - full)
+        tail, z = run_ba(b, a, x[full:], z, n - full)
         y = np.concatenate((y, tail))
     return y, z
 
 
+def steady_ba(b: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """The state in which a constant input of 1 leaves the filter b/a as it is."""
+    b, a = np.atleast_1d(np.asarray(b, float)), np.atleast_1d(np.asarray(a, float))
+    m = max(len(a), len(b)) - 1
+    b, a = np.pad(b, (0, m + 1 - len(b))) / a[0], np.pad(a, (0, m + 1 - len(a))) / a[0]
+    step = np.zeros((m, m))
+    if m:
+        step[:, 0] = -a[1:]
+        step[: m - 1, 1:] += np.eye(m - 1)
+    return np.linalg.solve(np.eye(m) - step, b[1:] - a[1:] * b[0]) if m else np.zeros(0)
+
+
+def run_section(s: np.ndarray, x: np.ndarray, z: np.ndarray, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """One section over x from state z: (y, last state)."""
+    return run_ba(s[:3], s[3:], x, z, block)
+
+
 def run_sos(sos: np.ndarray, x: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The cascade over x from states z (sections x 2): (y, last states)."""
     out = np.empty_like(np.asarray(z, float))

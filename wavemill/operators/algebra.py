@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,16 +17,44 @@ def _combine(sig: Signal, other, op) -> Signal:
         same = F.col("value").isNotNull() & F.col("_other").isNotNull()
         x = x.withColumn("value", F.when(same, op(F.col("value"), F.col("_other"))).otherwise(F.raise_error(F.lit("signals of different shapes")).cast("double")))
         return sig.with_df(x.drop("_other"))
+    if isinstance(other, (list, tuple, np.ndarray)):
+        return _broadcast(sig, np.asarray(other, float), op)
     return sig.with_df(sig.df.withColumn("value", op(F.col("value"), F.lit(other))))
 
 
+def _broadcast(sig: Signal, array: np.ndarray, op) -> Signal:
+    """With an array whose axes are the last of (keys..., idx); an axis of length 1 holds for all places. Keys are numbers
+    from 0. The array is on the driver, so small; places that it doesn't have are an error."""
+    axes = [*sig.keys, "idx"]
+    if array.ndim > len(axes):
+        raise ValueError(f"an array of {array.ndim} axes for {len(axes)}")
+    if array.ndim == 0:
+        return sig.with_df(sig.df.withColumn("value", op(F.col("value"), F.lit(float(array)))))
+    own = [(a, n) for a, n in zip(axes[len(axes) - array.ndim :], array.shape, strict=True) if n != 1]
+    if not own:
+        return sig.with_df(sig.df.withColumn("value", op(F.col("value"), F.lit(float(array.ravel()[0])))))
+    top = sig.df.agg(*(F.max(a) for a, _ in own)).first()
+    if any(m is not None and m + 1 != n for m, (_, n) in zip(top, own, strict=True)):
+        raise ValueError("signals of different shapes")
+    flat = array.reshape([n for _, n in own])
+    at = np.unravel_index(np.arange(flat.size), flat.shape)
+    names = [f"_at{i}" for i in range(len(own))]
+    table = sig.df.sparkSession.createDataFrame(pa.table({n: a.astype(np.int64) for n, a in zip(names, at, strict=True)} | {"_other": flat.ravel()}))
+    hit = F.lit(True)
+    for n, (a, _) in zip(names, own, strict=True):
+        hit = hit & (F.col(a) == F.col(n))
+    x = sig.df.join(F.broadcast(table) if flat.size < 100_000 else table, hit)
+    return sig.with_df(x.withColumn("value", op(F.col("value"), F.col("_other"))).drop("_other", *names))
+
+
 def add(sig: Signal, other) -> Signal:
-    """With a number or a signal of the same shape."""
+    """With a number, a signal of the same shape, or an array that is broadcast over keys and samples."""
     return _combine(sig, other, lambda a, b: a + b)
 
 
 def multiply(sig: Signal, other) -> Signal:
-    """With a real or complex number (the result then has re and im), or a signal of the same shape."""
+    """With a real or complex number (the result then has re and im), a signal of the same shape, or an array that is
+    broadcast over keys and samples."""
     if isinstance(other, complex):
         return sig.with_df(sig.df.select(*sig.keys, "idx", (F.col("value") * other.real).alias("re"), (F.col("value") * other.imag).alias("im")))
     return _combine(sig, other, lambda a, b: a * b)
@@ -63,10 +93,14 @@ def std(sig: Signal, over: str | None = None, ignore_nan: bool = True) -> DataFr
     return sig.df.groupBy(*by).agg(F.stddev_pop(_known(ignore_nan)).alias("std"))
 
 
-def standardize(sig: Signal, ignore_nan: bool = True) -> Signal:
-    """(value - mean) / std by key; null where std is 0. Statistics are aggregated first, so the join is by a row per key."""
-    s = sig.df.groupBy(*sig.keys).agg(F.avg(_known(ignore_nan)).alias("_m"), F.stddev_pop(_known(ignore_nan)).alias("_s"))
-    return sig.with_df(sig.df.join(s, list(sig.keys)).withColumn("value", (F.col("value") - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))).drop("_m", "_s"))
+def standardize(sig: Signal, ignore_nan: bool = True, over: str | None = None) -> Signal:
+    """(value - mean) / std by key, or over a key (then by idx and the other keys). Where std is 0, NaN at the mean and an
+    infinity elsewhere. Statistics are aggregated first, so the join is by a row for each of them."""
+    by = list(sig.keys) if over is None else [*(k for k in sig.keys if k != over), "idx"]
+    s = sig.df.groupBy(*by).agg(F.avg(_known(ignore_nan)).alias("_m"), F.stddev_pop(_known(ignore_nan)).alias("_s"))
+    d = F.col("value") - F.col("_m")
+    flat = F.when(F.isnan(d) | (d == 0), F.lit(float("nan"))).when(d > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
+    return sig.with_df(sig.df.join(s, by).withColumn("value", F.when(F.col("_s") == 0, flat).otherwise(d / F.nullif(F.col("_s"), F.lit(0.0)))).select(*sig.keys, "idx", "value"))
 
 
 def count_true(mask: DataFrame) -> DataFrame:

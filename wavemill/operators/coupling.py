@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -20,11 +21,17 @@ def phase_events(sig: Signal, fpass, fstop, at: float = 0.0, epsilon: float = 0.
     return p.df.where((F.col("value") > at - epsilon) & (F.col("value") < at + epsilon)).select(*sig.keys, "idx")
 
 
-def shuffled(events: DataFrame, n: int, size: int, seed: int = 0) -> DataFrame:
-    """n surrogates: events moved by a random shift modulo size. (surrogate, keys, idx)."""
-    shifts = [int(s) for s in np.random.default_rng(seed).integers(0, size, n)]
-    moved = F.posexplode(F.array(*map(F.lit, shifts))).alias("surrogate", "_s")
-    return events.select("*", moved).withColumn("idx", (F.col("idx") + F.col("_s")) % size).drop("_s")
+def shuffled(events: DataFrame, n: int, sizes: int | DataFrame, seed: int = 0) -> DataFrame:
+    """n surrogates: events moved round by a random part of their channel's length (surrogate, keys, idx). sizes: one length,
+    or (keys, n)."""
+    parts = [float(x) for x in np.random.default_rng(seed).random(n)]
+    moved = F.posexplode(F.array(*map(F.lit, parts))).alias("surrogate", "_s")
+    if isinstance(sizes, int):
+        x = events.withColumn("_n", F.lit(sizes).cast("long"))
+    else:
+        x = events.join(sizes.withColumnRenamed("n", "_n"), [c for c in sizes.columns if c != "n"])
+    shift = F.floor(F.col("_s") * F.col("_n"))
+    return x.select("*", moved).withColumn("idx", (F.col("idx") + shift) % F.col("_n")).drop("_s", "_n")
 
 
 def locked_power(amp: Signal, events: DataFrame, points: int, by=()) -> DataFrame:
@@ -41,35 +48,39 @@ def locked_power(amp: Signal, events: DataFrame, points: int, by=()) -> DataFram
 
 
 def normal_tail(z):
-    """1 - Phi(z) as a column, by the logistic-free series of the complementary error function (7e-8 absolute error)."""
-    x = F.abs(z) / math.sqrt(2)
-    t = 1 / (1 + 0.3275911 * x)
-    # Coefficients of the rational approximation of erfc
-    coefficients = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
-    poly = F.lit(0.0)
-    for c in reversed(coefficients):
-        poly = (poly + c) * t
-    tail = 0.5 * poly * F.exp(-x * x)
-    return F.when(z >= 0, tail).otherwise(1 - tail)
+    """1 - Phi(z) as a column, with 12 digits for large z too: a series about 0 for |z| < 3, else the continued fraction of
+    Laplace, z + 1/(z + 2/(z + 3/(z + ...)))."""
+    x = F.abs(z)
+    term, total = x, x
+    for k in range(1, 40):
+        term = term * x * x / (2 * k + 1)
+        total = total + term
+    density = F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+    near = 0.5 - density * total
+    tail = x
+    for k in range(60, 0, -1):
+        tail = x + k / tail
+    upper = F.when(x < 3, near).otherwise(density / tail)
+    return F.when(z >= 0, upper).otherwise(1 - upper)
 
 
 def fdr(df: DataFrame, by, p: str = "pvalue") -> DataFrame:
     """Adds Benjamini-Hochberg adjusted p values within each group."""
     w = Window.partitionBy(*by)
-    x = df.withColumn("_r", F.rank().over(w.orderBy(F.desc(p)))).withColumn("_m", F.count("*").over(w))
+    x = df.withColumn("_m", F.count("*").over(w))
     rank_up = F.count("*").over(w.orderBy(p).rangeBetween(Window.unboundedPreceding, 0))
     x = x.withColumn("_q", F.col(p) * F.col("_m") / rank_up)
     adjusted = F.min("_q").over(w.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0))
-    return x.withColumn("adjusted", F.least(F.lit(1.0), adjusted)).drop("_r", "_m", "_q")
+    return x.withColumn("adjusted", F.least(F.lit(1.0), adjusted)).drop("_m", "_q")
 
 
-def phase_locking(sig: Signal, events: DataFrame, centers, bandwidth: float = 4.0, window_s: float = 2.0, surrogates: int = 300, width: float = 2.0, seed: int = 0, size: int | None = None) -> DataFrame:
+def phase_locking(sig: Signal, events: DataFrame, centers, bandwidth: float = 4.0, window_s: float = 2.0, surrogates: int = 300, width: float = 2.0, seed: int = 0) -> DataFrame:
     """center, keys, offset, power, pvalue, adjusted: for each center frequency, the standardised band's power around events,
-    against surrogates (z = (p - mean) / (std / sqrt n), one-sided)."""
+    against surrogates (z = (p - mean) / (std / sqrt n), one-sided). A band narrower than twice the frequency of the events'
+    phase passes no modulation by it."""
     points = int(window_s * sig.fs)
     out = None
-    size = size or sig.df.agg(F.max("idx") + 1).first()[0]
-    null_events = shuffled(events, surrogates, size, seed)
+    null_events = shuffled(events, surrogates, sig.lengths(), seed)
     for c in centers:  # a plan for each center, all run together
         f = kaiser((c - bandwidth / 2, c + bandwidth / 2), (c - bandwidth, c + bandwidth), sig.fs)
         amp = amplitude(analytic(standardize(fir(sig, f)), width))
@@ -79,3 +90,29 @@ def phase_locking(sig: Signal, events: DataFrame, centers, bandwidth: float = 4.
         one = real.join(null, [*sig.keys, "offset"]).withColumn("pvalue", normal_tail(z)).withColumn("center", F.lit(float(c))).drop("_mean", "_std")
         out = one if out is None else out.unionByName(one)
     return fdr(out, ["center", *sig.keys])
+
+
+@dataclass(frozen=True)
+class PhaseLock:
+    """Phase-to-power coupling with its settings kept: events() of a slow band, then estimate() of fast bands around them."""
+
+    fpass: tuple[float, float]
+    fstop: tuple[float, float]
+    at: float = 0.0
+    epsilon: float = 0.05
+    width: float = 2.0
+    bandwidth: float = 4.0
+    window_s: float = 2.0
+    surrogates: int = 300
+    seed: int = 0
+
+    def events(self, sig: Signal) -> DataFrame:
+        return phase_events(sig, self.fpass, self.fstop, self.at, self.epsilon, self.width)
+
+    def estimate(self, sig: Signal, centers, events: DataFrame | None = None) -> DataFrame:
+        events = self.events(sig) if events is None else events
+        return phase_locking(sig, events, centers, self.bandwidth, self.window_s, self.surrogates, self.width, self.seed)
+
+    def frame(self, estimates: DataFrame, fs: float, alpha: float = 0.05) -> DataFrame:
+        """What a plot needs: center, keys, seconds from the event, power, and whether it is significant at alpha."""
+        return estimates.withColumn("seconds", F.col("offset") / float(fs)).withColumn("significant", F.col("adjusted") < alpha)

@@ -6,11 +6,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fir_design import Fir, hilbert, kaiser
-from ..functions.iir_design import Iir, run_sos, steady_state
-from .shape import reverse
+from ..functions.iir_design import Iir, run_ba, run_sos, steady_ba, steady_state
 from .signal import BLOCK, Signal, block_apply, dense, key_fields
 
 
@@ -49,57 +49,130 @@ def fir(sig: Signal, f: Fir, mode: str = "same", block: int = BLOCK) -> Signal:
     return convolve(sig, f.coeffs, mode, block)
 
 
-def sos_forward(sig: Signal, sos, init: str | np.ndarray = "rest", block: int = BLOCK) -> Signal:
-    """The cascade over each key's samples in order. init: `rest`, `steady` (as if the first value had always been there), or
-    states (sections x 2).
+class Recursion:
+    """A linear filter with a state: y, state = run(x, state). `size` numbers make a state; `steady` is the state of an endless
+    input of 1."""
+
+    def __init__(self, sos=None, ba=None):
+        if (sos is None) == (ba is None):
+            raise ValueError("either sections or (b, a)")
+        self.sos = None if sos is None else np.asarray(sos, float)
+        self.ba = None if ba is None else tuple(np.atleast_1d(np.asarray(c, float)) for c in ba)
+        self.steady = steady_state(self.sos).ravel() if self.ba is None else steady_ba(*self.ba)
+        self.size = len(self.steady)
+
+    def run(self, x: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.ba is not None:
+            return run_ba(*self.ba, x, z)
+        y, z = run_sos(self.sos, x, np.asarray(z).reshape(-1, 2))
+        return y, z.ravel()
+
+    def free(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """What each unit state becomes in n samples without input: outputs (size x n), and states as columns (size x size)."""
+        runs = [self.run(np.zeros(n), e) for e in np.eye(self.size)]
+        return np.array([y for y, _ in runs]).reshape(self.size, n), np.stack([z for _, z in runs], 1) if runs else np.zeros((0, 0))
+
 
-    Blocks are run from rest in parallel; only their last states (one small row a block) are chained by key, by the map that a
-    block of zeros makes of a state; then blocks are run again from their own states.
+def _blocked(sig: Signal, block: int) -> DataFrame:
+    """keys, b, start, x: the samples of each block in order."""
+    x = sig.df.groupBy(*sig.keys, F.expr(f"idx div {block}").alias("b")).agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("s"))
+    return x.select(*sig.keys, "b", F.col("s")[0]["idx"].alias("start"), F.transform("s", lambda s: s["value"]).alias("x"))
+
+
+def _recursive(sig: Signal, f: Recursion, init: str | np.ndarray, both: bool, block: int) -> tuple[Signal, DataFrame]:
+    """The filtered signal, forward or forward and backward, and the states (keys, z) that the forward run ends in.
+
+    The signal is cut in blocks by one shuffle. Each block is run from rest, in parallel; a small row of it (its last states, and
+    what the run back over its output would end in) is chained with those of the key's other blocks, since a state's effect
+    on all of these is linear; then the blocks are run again, both ways, from their own states.
     """
-    sos = np.asarray(sos, float)
-    m = 2 * len(sos)
-    rest = np.zeros((len(sos), 2))
-    step = np.stack([run_sos(sos, np.zeros(block), e.reshape(-1, 2))[1].ravel() for e in np.eye(m)], 1)
-    steady = steady_state(sos).ravel() if isinstance(init, str) and init == "steady" else np.zeros(m)
+    keys, m = list(sig.keys), f.size
+    steady = f.steady if both or (isinstance(init, str) and init == "steady") else np.zeros(m)
     given = np.zeros(m) if isinstance(init, str) else np.asarray(init, float).ravel()
-    at = F.expr(f"idx div {block}")
-    ends = block_apply(sig, at, at, lambda b, idx, x: {"b": np.array([b]), "first": x[:1], "z": [run_sos(sos, x, rest)[1].ravel()]}, {"b": "bigint", "first": "double", "z": "array<double>"})
-    keys = list(sig.keys)
+    blocks = _blocked(sig, block)
+    numbers = "array<double>"
+
+    def ends(batches):
+        for t in batches:
+            rows = []
+            for x in t.column("x"):
+                x = x.values.to_numpy()
+                y, z = f.run(x, np.zeros(m))
+                back = f.run(y[::-1], np.zeros(m))[1] if both else z
+                rows.append((len(x), x[0], y[-1], z, back))
+            n, first, last, z, back = zip(*rows, strict=True) if rows else ((),) * 5
+            vectors = (pa.array([v.tolist() for v in c], pa.list_(pa.float64())) for c in (z, back))
+            yield pa.RecordBatch.from_arrays([*(t.column(k) for k in [*keys, "b"]), pa.array(n, pa.int64()), pa.array(first, pa.float64()), pa.array(last, pa.float64()), *vectors], [*keys, "b", "n", "first", "last", "z", "back"])
 
     def chain(t: pa.Table) -> pa.Table:
         order = np.argsort(t["b"].to_numpy())
-        z, out = None, []
-        for k in order:
-            if z is None:
-                z = given + steady * t["first"][int(k)].as_py()
-            out.append(z)
-            z = step @ z + np.array(t["z"][int(k)].as_py())
-        cols = [t[k].combine_chunks().take(pa.array(order)) for k in keys]
-        return pa.table([*cols, pa.array(t["b"].to_numpy()[order]), pa.array(out, pa.list_(pa.float64()))], [*keys, "b", "z"])
-
-    states = ends.groupBy(*keys).applyInArrow(chain, key_fields(sig) + ", b bigint, z array<double>")
-    x = sig.df.withColumn("b", at).groupBy(*keys, "b").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("s"))
-    x = x.join(states, [*keys, "b"]).select(*keys, F.col("s")[0]["idx"].alias("start"), F.transform("s", lambda s: s["value"]).alias("x"), "z")
+        n, first, last = (t[c].to_numpy()[order] for c in ("n", "first", "last"))
+        z, back = (np.array(t[c].to_pylist(), float).reshape(len(order), m)[order] for c in ("z", "back"))
+        free = {k: f.free(k) for k in set(n.tolist())}
+        turned = {k: np.stack([f.run(y[::-1], np.zeros(m))[1] for y in free[k][0]], 1) if both and m else np.zeros((m, m)) for k in free}
+        start, end = np.zeros((len(n), m)), np.zeros((len(n), m))
+        state = given + steady * first[0]
+        for k in range(len(n)):
+            start[k] = state
+            state = free[n[k]][1] @ state + z[k]
+        after = state
+        if both:
+            k = len(n) - 1
+            state = steady * (last[k] + free[n[k]][0][:, -1] @ start[k])
+            for k in range(len(n) - 1, -1, -1):
+                end[k] = state
+                state = free[n[k]][1] @ state + back[k] + turned[n[k]] @ start[k]
+        cols = [t[c].combine_chunks().take(pa.array(order)) for c in keys]
+        lists = (pa.array([list(v) for v in c], pa.list_(pa.float64())) for c in (start, end, [after] * len(n)))
+        return pa.table([*cols, pa.array(t["b"].to_numpy()[order]), *lists], [*keys, "b", "z", "back", "after"])
+
+    small = blocks.mapInArrow(ends, f"{key_fields(sig)}, b bigint, n bigint, first double, last double, z {numbers}, back {numbers}")
+    states = small.groupBy(*keys).applyInArrow(chain, f"{key_fields(sig)}, b bigint, z {numbers}, back {numbers}, after {numbers}")
 
     def run(batches):
         for t in batches:
-            ys, starts = [], []
-            for x_, z in zip(t.column("x").to_pylist(), t.column("z").to_pylist(), strict=True):
-                ys.append(run_sos(sos, np.array(x_), np.array(z).reshape(-1, 2))[0])
-                starts.append(len(x_))
-            n = np.array(starts)
-            which = np.repeat(np.arange(t.num_rows), n)
-            idx = np.concatenate([s + np.arange(k) for s, k in zip(t.column("start").to_numpy(), n, strict=True)]) if len(n) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*(t.column(k).take(pa.array(which)) for k in keys), pa.array(idx, pa.int64()), pa.array(np.concatenate(ys) if ys else [], pa.float64())], [*keys, "idx", "value"])
+            for r in range(t.num_rows):
+                x = t.column("x")[r].values.to_numpy()
+                y, _ = f.run(x, np.array(t.column("z")[r].as_py(), float))
+                if both:
+                    y = f.run(y[::-1], np.array(t.column("back")[r].as_py(), float))[0][::-1]
+                which = pa.array(np.full(len(y), r))
+                yield pa.RecordBatch.from_arrays([*(t.column(k).take(which) for k in keys), pa.array(t.column("start")[r].as_py() + np.arange(len(y))), pa.array(np.ascontiguousarray(y))], [*keys, "idx", "value"])
 
-    return sig.with_df(x.mapInArrow(run, key_fields(sig) + ", idx bigint, value double"))
+    x = blocks.join(states.drop("after"), [*keys, "b"])
+    out = sig.with_df(x.mapInArrow(run, key_fields(sig) + ", idx bigint, value double"))
+    return out, states.where("b = 0").select(*keys, F.col("after").alias("z"))
 
 
-def iir(sig: Signal, f: Iir, dephase: bool = True, init="rest", block: int = BLOCK) -> Signal:
-    """Forward, or (dephase) forward and backward without a phase shift, each run beginning in its steady state."""
-    if not dephase:
-        return sos_forward(sig, f.sos, init, block)
-    return reverse(sos_forward(reverse(sos_forward(sig, f.sos, "steady", block)), f.sos, "steady", block))
+def sos_forward(sig: Signal, sos, init: str | np.ndarray = "rest", block: int = BLOCK, with_states: bool = False):
+    """The cascade over each key's samples in order. init: `rest`, `steady` (as if the first value had always been there), or
+    states (sections x 2). With `with_states` also (keys, z): the states at the end, in order of the sections."""
+    out, states = _recursive(sig, Recursion(sos=sos), init, False, block)
+    return (out, states) if with_states else out
+
+
+def sos_both_ways(sig: Signal, sos, block: int = BLOCK) -> Signal:
+    """Forward and backward without a phase shift, each run beginning in its steady state."""
+    return _recursive(sig, Recursion(sos=sos), "steady", True, block)[0]
+
+
+def ba_forward(sig: Signal, b, a, init: str | np.ndarray = "rest", block: int = BLOCK, with_states: bool = False):
+    """The filter b/a in transposed direct form II; init as for sections, a state being as long as the filter's order."""
+    out, states = _recursive(sig, Recursion(ba=(b, a)), init, False, block)
+    return (out, states) if with_states else out
+
+
+def ba_both_ways(sig: Signal, b, a, block: int = BLOCK) -> Signal:
+    return _recursive(sig, Recursion(ba=(b, a)), "steady", True, block)[0]
+
+
+def iir(sig: Signal, f: Iir, dephase: bool = True, init="rest", block: int = BLOCK, form: str = "sos") -> Signal:
+    """Forward, or (dephase) forward and backward, by sections or (form `ba`) as one quotient, which is less exact."""
+    if form not in ("sos", "ba"):
+        raise ValueError(f"unknown form {form!r}")
+    if form == "ba":
+        return ba_both_ways(sig, *f.ba, block) if dephase else ba_forward(sig, *f.ba, init, block)
+    return sos_both_ways(sig, f.sos, block) if dephase else sos_forward(sig, f.sos, init, block)
 
 
 def analytic(sig: Signal, width: float, gpass: float = 0.01, gstop: float = 60.0, block: int = BLOCK) -> Signal:
@@ -119,7 +192,8 @@ def phase(z: Signal) -> Signal:
 
 
 def resample(sig: Signal, up: int, down: int, fir=kaiser, gpass: float = 0.1, gstop: float = 40.0, block: int = BLOCK) -> Signal:
-    """By up/down: y[m] = L sum x[i] h[m M - i L + (len(h) - 1)/2], zeros outside; ceil(N L / M) samples at fs L / M."""
+    """By up/down: y[m] = L sum x[i] h[m M - i L + (len(h) - 1)/2], zeros outside; ceil(N L / M) samples at fs L / M. A channel of
+    no more than M samples is an error when the plan runs."""
     g = math.gcd(up, down)
     up, down = up // g, down // g
     if up == down:
@@ -129,7 +203,11 @@ def resample(sig: Signal, up: int, down: int, fir=kaiser, gpass: float = 0.1, gs
     half = (len(h) - 1) // 2
     span = -(-len(h) // up) + 1
 
+    block = max(block, up)
+
     def fn(b, idx, x):
+        if b == 0 and idx[-1] < down:  # all samples of so short a channel are here
+            raise ValueError(f"{idx[-1] + 1} samples are too few to keep one of {down}")
         m = np.arange(b * block, min((b + 1) * block, -(-(int(idx[-1]) + 1) * up // down)))
         if not len(m):
             return {"idx": m, "value": np.zeros(0)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .signal import Signal
 
@@ -62,13 +63,22 @@ def apply_mask(sig: Signal, mask: DataFrame) -> Signal:
     return renumber(sig.with_df(sig.df.join(mask.where("keep").select("idx"), "idx", "left_semi").select(*sig.df.columns)))
 
 
-def intervals(annotations: DataFrame, fs: float) -> DataFrame:
-    """Disjoint sample ranges (start, stop) that the annotations cover, ends rounded half to even."""
+def intervals(annotations: DataFrame, fs: float, bucket: int = 1 << 22) -> DataFrame:
+    """Disjoint sample ranges (start, stop) that the annotations cover, ends rounded half to even.
+
+    They are merged within buckets of samples by their starts; then a row for each bucket tells the next ones how far it
+    reaches. A range that reaches into another bucket's may touch the next range instead of being one with it.
+    """
     a = annotations.select(F.rint(F.col("time") * fs).cast("long").alias("a"), F.rint((F.col("time") + F.col("duration")) * fs).cast("long").alias("b")).where("b > a")
-    w = Window.orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
-    x = a.withColumn("_new", F.when(F.col("a") <= F.max("b").over(w), 0).otherwise(1))
-    x = x.withColumn("_g", F.sum("_new").over(Window.orderBy("a", "b").rowsBetween(Window.unboundedPreceding, 0)))
-    return x.groupBy("_g").agg(F.min("a").alias("start"), F.max("b").alias("stop")).select("start", "stop")
+    a = a.withColumn("_b", F.floor(F.col("a") / bucket))
+    w = Window.partitionBy("_b").orderBy("a", "b")
+    x = a.withColumn("_new", F.when(F.col("a") <= F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1))
+    x = x.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = x.groupBy("_b", "_g").agg(F.min("a").alias("start"), F.max("b").alias("stop"))
+    reach = a.groupBy("_b").agg(F.max("b").alias("_to"))  # a row for each bucket
+    reach = reach.select("_b", F.max("_to").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_from"))
+    out = merged.join(reach, "_b").select(F.greatest("start", F.coalesce("_from", "start")).alias("start"), "stop")
+    return out.where("start < stop")
 
 
 def mask_by_annotations(sig: Signal, annotations: DataFrame, include: bool = True, bucket: int = 65_536) -> Signal:
@@ -110,8 +120,10 @@ def index_mask(spark, size: int, indices) -> DataFrame:
     return spark.range(size).select(F.col("id").alias("idx"), keep.alias("keep"))
 
 
-def pad(sig: Signal, amount: int | tuple[int, int], value: float = 0.0) -> Signal:
-    """Constants before and after each key's samples."""
+def pad(sig: Signal, amount: int | tuple[int, int], value: float = 0.0, axis: str = "idx") -> Signal:
+    """Constants before and after each key's samples, or (axis: an integer key from 0) as channels before and after."""
+    if axis != "idx":
+        return _pad_key(sig, (amount, amount) if isinstance(amount, int) else amount, float(value), axis)
     left, right = (amount, amount) if isinstance(amount, int) else amount
     keys = list(sig.keys)
     body = sig.df.select(*keys, (F.col("idx") + left).alias("idx"), "value")
@@ -123,6 +135,19 @@ def pad(sig: Signal, amount: int | tuple[int, int], value: float = 0.0) -> Signa
     return sig.with_df(body.unionByName(ends))
 
 
+def _pad_key(sig: Signal, amount: tuple[int, int], value: float, axis: str) -> Signal:
+    left, right = amount
+    kind = sig.df.schema[axis].dataType
+    body = sig.df.withColumn(axis, (F.col(axis) + left).cast(kind))
+    top = sig.df.agg(F.max(axis)).first()[0]
+    new = [*range(left), *range(left + top + 1, left + top + 1 + right)] if top is not None else []
+    if not new:
+        return sig.with_df(body)
+    # the samples of channel 0, once for each new one
+    blank = sig.df.where(F.col(axis) == 0).withColumn(axis, F.explode(F.lit(new).cast(T.ArrayType(kind)))).withColumn("value", F.lit(value))
+    return sig.with_df(body.unionByName(blank))
+
+
 def extend(sig: Signal, n: int, how: str = "edge") -> Signal:
     """n samples before and after: `zero`, `edge` (first and last repeated), `even` (mirrored without the edge) or `odd` (mirrored
     about the edge's value). even and odd need more than n samples."""

@@ -11,17 +11,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..store import numbered
+
 #: Samples of a block. Bounds a task's memory and sets its parallelism: channels x samples / BLOCK.
 BLOCK = 65_536
 
 
 @dataclass(frozen=True)
 class Signal:
-    """`df` has the columns keys..., idx (BIGINT from 0, gapless by key) and value (or re, im). `fs` is in samples a second."""
+    """`df` has the columns keys..., idx (BIGINT from 0, gapless by key) and value (or re, im). `fs` is in samples a second;
+    `rates` has those of channels with a rate of their own, by the value of the last key."""
 
     df: DataFrame
     keys: tuple[str, ...] = ("ch",)
     fs: float = 1.0
+    rates: dict | None = None
 
     def with_df(self, df: DataFrame, **more) -> Signal:
         return replace(self, df=df, **more)
@@ -42,13 +46,74 @@ def from_chunks(chunks: DataFrame, keys=("ch",), fs: float = 1.0) -> Signal:
     return Signal(long.select(*keys, (F.col("start") + F.col("pos")).alias("idx"), "value"), tuple(keys), fs)
 
 
-def from_rows(df: DataFrame, keys, order, value, fs: float = 1.0) -> Signal:
-    """Numbers the rows of each key in an order. A channel is sorted in one task; give idx directly where it is known."""
+def from_rows(df: DataFrame, keys, order, value, fs: float = 1.0, bucket: int = BLOCK) -> Signal:
+    """Numbers the rows of each key in an order (ties in any order).
+
+    Where the order is a whole number or a time, rows are ranked within buckets of it, and buckets are counted first: whole
+    numbers in buckets of `bucket`, times in as many buckets as give about that many rows (one look at their range). No task
+    sorts more than a bucket of a channel. Nulls come first. Any other order is numbered by ranges of (keys, order), which are
+    written once.
+    """
     keys = [keys] if isinstance(keys, (str, Column)) else list(keys)
     names = [k if isinstance(k, str) else f"k{i}" for i, k in enumerate(keys)]
-    w = Window.partitionBy(*names).orderBy("_order")
-    x = df.select(*[F.col(k) if isinstance(k, str) else k.alias(n) for k, n in zip(keys, names, strict=True)], order.alias("_order") if isinstance(order, Column) else F.col(order).alias("_order"), (value if isinstance(value, Column) else F.col(value)).cast("double").alias("value"))
-    return Signal(x.withColumn("idx", (F.row_number().over(w) - 1).cast("long")).drop("_order"), tuple(names), fs)
+    by = order if isinstance(order, Column) else F.col(order)
+    x = df.select(*[F.col(k) if isinstance(k, str) else k.alias(n) for k, n in zip(keys, names, strict=True)], by.alias("_order"), (value if isinstance(value, Column) else F.col(value)).cast("double").alias("value"))
+    kind = x.schema["_order"].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        micros = F.unix_micros(F.col("_order").cast("timestamp"))
+        low, high, n = x.agg(F.min(micros), F.max(micros), F.count("*")).first()
+        width = max(1, -(-((high or 0) - (low or 0) + 1) * bucket // max(1, n)))
+        at = F.floor((micros - F.lit(low or 0)) / width)
+    elif isinstance(kind, T.IntegralType):
+        at = F.expr(f"_order div {bucket}")
+    else:
+        at = None
+    if at is None:
+        place = numbered(x, [*(F.col(n) for n in names), F.col("_order")], "_place")
+        first = place.groupBy(*names).agg(F.min("_place").alias("_first"))
+        out = _joined(place, first, names).select(*names, "value", (F.col("_place") - F.col("_first")).alias("idx"))
+        return Signal(out, tuple(names), fs)
+    # nulls are ties, so they may be dealt to buckets of their own
+    x = x.withColumn("_b", F.coalesce(at.cast("long"), F.pmod(F.xxhash64("value"), F.lit(1024)) - F.lit(1 << 62)))
+    n = x.groupBy(*names, "_b").agg(F.count("*").alias("_n"))
+    before = n.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*names).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    ranked = x.withColumn("_r", F.row_number().over(Window.partitionBy(*names, "_b").orderBy("_order")))
+    out = _joined(ranked, before, [*names, "_b"]).select(*names, "value", (F.col("_before") + F.col("_r") - 1).cast("long").alias("idx"))
+    return Signal(out, tuple(names), fs)
+
+
+def _joined(x: DataFrame, small: DataFrame, names) -> DataFrame:
+    """x with the columns of `small`, where both are equal in the names, nulls too."""
+    small = small.withColumnsRenamed({n: f"_of_{n}" for n in names})
+    hit = F.col(names[0]).eqNullSafe(F.col(f"_of_{names[0]}"))
+    for n in names[1:]:
+        hit = hit & F.col(n).eqNullSafe(F.col(f"_of_{n}"))
+    return x.join(small, hit).drop(*(f"_of_{n}" for n in names))
+
+
+def from_function(spark, make: Callable[[int], np.ndarray], parts: int, fs: float = 1.0) -> Signal:
+    """Parts made on the executors, one after the other along the samples: make(k) gives channels x samples (or samples) of
+    part k. Parts may differ in length, so each is made twice: once to be counted."""
+    import pandas as pd
+
+    def each(batches, what):
+        for b in batches:
+            for k in b["id"]:
+                x = np.atleast_2d(np.asarray(make(int(k)), float))
+                yield what(int(k), x)
+
+    ids = spark.range(0, parts, 1, max(1, min(parts, 4 * spark.sparkContext.defaultParallelism)))
+    sizes = ids.mapInPandas(lambda bs: each(bs, lambda k, x: pd.DataFrame({"k": [k], "n": [x.shape[1]], "channels": [x.shape[0]]})), "k long, n long, channels long")
+    rows = sorted(map(tuple, sizes.collect()))  # a row for each part
+    if len({c for _, n, c in rows if n}) > 1:
+        raise ValueError("parts of different numbers of channels")
+    starts = np.cumsum([0, *(n for _, n, _ in rows)])
+
+    def long(k, x):
+        idx = starts[k] + np.arange(x.shape[1])
+        return pd.DataFrame({"d0": np.repeat(np.arange(len(x), dtype=np.int32), x.shape[1]), "idx": np.tile(idx, len(x)), "value": x.ravel()})
+
+    return Signal(ids.mapInPandas(lambda bs: each(bs, long), "d0 int, idx long, value double"), ("d0",), fs)
 
 
 def from_array(spark, x, axis: int = -1, fs: float = 1.0) -> Signal:
@@ -112,6 +177,25 @@ def block_apply(sig: Signal, low: Column, high: Column, fn: Callable[[int, np.nd
     return dealt.groupBy(*keys, "block").applyInArrow(run, key_fields(sig) + ", " + ", ".join(f"{n} {t}" for n, t in out.items()))
 
 
+def map_blocks(sig: Signal, fn: Callable[[int, np.ndarray, np.ndarray], np.ndarray], halo: int = 0, block: int = BLOCK) -> Signal:
+    """A function of the user's on every block: fn(block, idx, values), with `halo` samples of the neighbours on both sides
+    where there are any, gives a value for each sample of the block itself."""
+
+    def own(b, idx, x):
+        at = (idx >= b * block) & (idx < (b + 1) * block)
+        y = np.asarray(fn(b, idx, x), float)
+        if len(y) != at.sum():
+            raise ValueError(f"{len(y)} values for the {at.sum()} samples of a block")
+        return {"idx": idx[at], "value": y}
+
+    last = F.max("idx").over(Window.partitionBy(*sig.keys)) if halo else F.lit(None)
+    x = sig if not halo else sig.with_df(sig.df.withColumn("_last", last))
+    low, high = F.greatest(F.lit(0), F.expr(f"(idx - {halo}) div {block}")), F.expr(f"(idx + {halo}) div {block}")
+    if halo:
+        high = F.least(high, F.expr(f"_last div {block}"))
+    return sig.with_df(block_apply(x, low, high, own, {"idx": "bigint", "value": "double"}))
+
+
 def arrow_type(kind: T.DataType) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<double>": pa.list_(pa.float64())}[kind.simpleString()]
 

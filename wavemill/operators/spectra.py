@@ -59,12 +59,14 @@ def periodograms(sig: Signal, nfft: int, overlap: float = 0.5, win="hann", detre
     return _blocks(sig, nfft, stride, win, detrend, scaling, False)
 
 
-def _blocks(sig, nfft, stride, win, detrend, scaling, summed):
+def _blocks(sig, nfft, stride, win, detrend, scaling, summed, strict=False):
     fs = sig.fs
     kept = min(SEGMENTS, max(1, (1 << 20) // stride))
 
     def fn(b, idx, x):
         first = b * kept
+        if strict and b == 0 and idx[-1] < nfft - 1:
+            raise ValueError(f"a channel of {idx[-1] + 1} samples has no segment of {nfft}")
         count = min(kept, (int(idx[-1]) + 1 - nfft) // stride + 1 - first)
         nk = nfft // 2 + 1
         if count <= 0:
@@ -79,12 +81,15 @@ def _blocks(sig, nfft, stride, win, detrend, scaling, summed):
     return block_apply(sig, low, F.greatest(low, high), fn, {"seg": "bigint", "k": "int", "freq": "double", "p": "double"})
 
 
-def psd(sig: Signal, resolution: float = 0.5, win="hann", overlap: float = 0.5, detrend="constant", scaling="density", nfft: int | None = None) -> DataFrame:
-    """Welch's estimate: keys, k, freq, psd, n_segments. Channels shorter than a segment have no rows."""
+def psd(sig: Signal, resolution: float = 0.5, win="hann", overlap: float = 0.5, detrend="constant", scaling="density", nfft: int | None = None, short: str = "error") -> DataFrame:
+    """Welch's estimate: keys, k, freq, psd, n_segments. A channel shorter than a segment is an error when the plan runs, or has
+    no rows (short: `drop`)."""
     nfft, stride = _plan(sig.fs, resolution, overlap, nfft)
     if nfft < 1 or stride < 1:
         raise ValueError("segments without samples, or an overlap of 1 or more")
-    sums = _blocks(sig, nfft, stride, win, detrend, scaling, True)
+    if short not in ("error", "drop"):
+        raise ValueError(f"unknown {short!r}")
+    sums = _blocks(sig, nfft, stride, win, detrend, scaling, True, short == "error")
     out = sums.groupBy(*sig.keys, "k").agg(F.first("freq").alias("freq"), (F.sum("p") / F.sum("seg")).alias("psd"), F.sum("seg").alias("n_segments"))
     return out.select(*sig.keys, "k", "freq", "psd", "n_segments")
 
@@ -169,7 +174,16 @@ def confidence_interval(spectrum: DataFrame, n_estimates: int, alpha: float = 0.
     return spectrum.withColumn("ci_low", F.col("psd") * lo).withColumn("ci_high", F.col("psd") * hi)
 
 
-def spectrogram_db(z: DataFrame) -> DataFrame:
-    """10 log10(|X|² + 1) of a short-time transform."""
+def spectrogram_db(z: DataFrame, freqs: tuple[float, float] | None = None, times: tuple[float, float] | None = None) -> DataFrame:
+    """10 log10(|X|² + 1) of a short-time transform, of the bins within `freqs` and the segments within `times` (both ends included)."""
+    for c, within in (("freq", freqs), ("t", times)):
+        if within is not None:
+            z = z.where(F.col(c).between(*map(float, within)))
     p = F.col("re") * F.col("re") + F.col("im") * F.col("im")
     return z.withColumn("db", 10 * F.log10(p + 1)).drop("re", "im")
+
+
+def banded(spectrum: DataFrame, bands: dict[str, tuple[float, float]], value: str = "psd") -> DataFrame:
+    """The rows of the named bands of frequencies (both ends included), with the name in `band`; bands may overlap."""
+    names = [F.when(F.col("freq").between(float(lo), float(hi)), F.lit(n)) for n, (lo, hi) in bands.items()]
+    return spectrum.withColumn("band", F.explode(F.filter(F.array(*names), lambda x: x.isNotNull())))

@@ -2,28 +2,54 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_annotations(spark: SparkSession, path: str, start: int = 0, delimiter: str = "\t", labels=None) -> DataFrame:
-    """(label, time, duration, channel) of delimited text with `start` lines before its header row.
+# The columns of an annotation file and the form of its times
+COLUMNS = ("Annotation", "Start Time", "End Time", "Time From Start", "Channel")
+STAMPS = ("MM/dd/yy HH:mm:ss.SSSSSS", "MM/dd/yy HH:mm:ss.SSS", "MM/dd/yy HH:mm:ss")
+
+
+def seconds_between(start, stop):
+    """Seconds from one written time to another, as a column; null where either isn't of a known form."""
+    first, last = (F.coalesce(*(F.unix_micros(F.try_to_timestamp(c, F.lit(f))) for f in STAMPS)) for c in (start, stop))
+    return (last - first) / 1e6
+
 
-    Columns used: Annotation, Start Time, End Time (MM/dd/yy HH:mm:ss.ffffff), Time From Start (seconds), Channel. The file is
-    split by Spark; its preamble and header are told by their line numbers in the file, and quotes are plain characters.
+def read_annotations(spark: SparkSession, path: str, start: int = 0, delimiter: str = "\t", labels=None, quote: str = '"') -> DataFrame:
+    """(label, time, duration, channel) of delimited text files, with `start` lines before their header row.
+
+    Columns used: Annotation, Start Time, End Time (MM/dd/yy HH:mm:ss.ffffff), Time From Start (seconds), Channel; one that the
+    header lacks is an error. Fields may be quoted. Lines without any field are left out; fields that a short row lacks, and
+    numbers and times that can't be read, are null. Files are read each in a task, so one has to fit there.
     """
-    head = spark.read.text(path).limit(start + 1).collect()  # the preamble and the header only
-    names = head[start][0].split(delimiter)
-    preamble = [r[0] for r in head]
-    lines = spark.read.text(path).where(~F.col("value").isin(preamble) & (F.trim("value") != ""))
-    cell = F.split("value", delimiter.replace("|", r"\|"))
-    x = lines.select(*[cell[i].alias(n.strip()) for i, n in enumerate(names)])
-    stamp = "MM/dd/yy HH:mm:ss[.SSSSSS][.SSS]"
-    seconds = (F.unix_micros(F.to_timestamp("End Time", stamp)) - F.unix_micros(F.to_timestamp("Start Time", stamp))) / 1e6
-    out = x.select(F.col("Annotation").alias("label"), F.col("Time From Start").cast("double").alias("time"), seconds.alias("duration"), F.col("Channel").alias("channel"))
-    if labels is not None:
-        out = out.where(F.col("label").isin([labels] if isinstance(labels, str) else list(labels)))
-    return out
+
+    def run(batches):
+        for b in batches:
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                lines = csv.reader(io.StringIO(text.split("\n", start)[start] if text.count("\n") >= start else "", newline=""), delimiter=delimiter, quotechar=quote)
+                head = [x.strip() for x in next(lines, [])]
+                if missing := [c for c in COLUMNS if c not in head]:
+                    raise ValueError(f"{name}: no columns {missing} in {head}")
+                at = [head.index(c) for c in COLUMNS]
+                rows = [[x[i].strip() if i < len(x) else None for i in at] for x in lines if any(map(str.strip, x))]
+                cols = list(zip(*rows, strict=True)) or [()] * len(at)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["label", "start", "stop", "time", "channel"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("string").alias("text"))
+    x = files.mapInArrow(run, "label string, start string, stop string, time string, channel string")
+    out = x.select("label", F.col("time").try_cast("double").alias("time"), seconds_between(F.col("start"), F.col("stop")).alias("duration"), "channel")
+    return out if labels is None else labelled(out, labels)
+
+
+def labelled(annotations: DataFrame, labels) -> DataFrame:
+    """The annotations of a label, or of some."""
+    return annotations.where(F.col("label").isin([labels] if isinstance(labels, str) else list(labels)))
 
 
 def stem(path):
@@ -75,3 +101,17 @@ def rename(spark: SparkSession, paths: DataFrame, substring: str, replacement: s
         p = spark._jvm.org.apache.hadoop.fs.Path(r.path)
         n += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).rename(p, spark._jvm.org.apache.hadoop.fs.Path(r.renamed)))
     return n
+
+
+def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path): the files of a folder of any of Spark's file systems whose names fit a glob. The list is made on the driver."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    p = fs_path(f"{folder.rstrip('/')}/{pattern}")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    names = sorted(s.getPath().toString() for s in found or [] if s.isFile())
+    return spark.createDataFrame([(n,) for n in names], "path string")
+
+
+def match_folders(spark: SparkSession, folder: str, other: str, pattern: str, glob: str = "*", other_glob: str = "*") -> DataFrame:
+    """(path, other): match() of the files of two folders."""
+    return match(list_files(spark, folder, glob), list_files(spark, other, other_glob), pattern)
