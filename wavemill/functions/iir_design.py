@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -52,6 +53,23 @@ class Iir:
         return run_sos(self.sos, x, np.zeros((len(self.sos), 2)))[0]
 
 
+@lru_cache(maxsize=256)
+def _blocks_of(b: tuple, a: tuple, block: int) -> tuple[np.ndarray, ...]:
+    """What run_ba multiplies blocks with: outputs of inputs and of states, states of inputs and of states."""
+    m = len(b) - 1
+    step = np.zeros((m, m))
+    step[:, 0] = -np.array(a[1:])
+    step[: m - 1, 1:] += np.eye(m - 1)
+    c = np.array(b[1:]) - np.array(a[1:]) * b[0]
+    powers = [np.eye(m)]
+    for _ in range(block):
+        powers.append(step @ powers[-1])
+    see = np.array([p[0] for p in powers[:block]])
+    h = np.concatenate(([b[0]], [powers[k][0] @ c for k in range(block - 1)]))
+    lag = np.arange(block)[:, None] - np.arange(block)[None]
+    return np.where(lag >= 0, h[np.maximum(lag, 0)], 0), see, np.array([powers[block - 1 - k] @ c for k in range(block)]).T, powers[block]
+
+
 def run_ba(b: np.ndarray, a: np.ndarray, x: np.ndarray, z: np.ndarray, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """The filter b/a (any order m) over x from state z (m numbers, transposed direct form II), by blocks of matrix products:
     (y, last state)."""
@@ -61,26 +79,15 @@ def run_ba(b: np.ndarray, a: np.ndarray, x: np.ndarray, z: np.ndarray, block: in
     x = np.asarray(x, float)
     if m == 0 or not len(x):
         return b[0] * x, np.asarray(z, float)
-    step = np.zeros((m, m))
-    step[:, 0] = -a[1:]
-    step[: m - 1, 1:] += np.eye(m - 1)
-    c = b[1:] - a[1:] * b[0]
     n, block = len(x), min(block, len(x))
-    powers = [np.eye(m)]
-    for _ in range(block):
-        powers.append(step @ powers[-1])
-    see = np.array([p[0] for p in powers[:block]])  # y from the state, by step
-    h = np.concatenate(([b[0]], [powers[k][0] @ c for k in range(block - 1)]))
-    lag = np.arange(block)[:, None] - np.arange(block)[None]
-    toeplitz = np.where(lag >= 0, h[np.maximum(lag, 0)], 0)
-    feed = np.array([powers[block - 1 - k] @ c for k in range(block)]).T
+    toeplitz, see, feed, step = _blocks_of(tuple(b.tolist()), tuple(a.tolist()), block)
     full = n // block * block
     xb = x[:full].reshape(-1, block)
     states, add = np.empty((len(xb), m)), xb @ feed.T
     z = np.asarray(z, float)
     for k in range(len(xb)):
         states[k] = z
-        z = powers[block] @ z + add[k]
+        z = step @ z + add[k]
     y = (xb @ toeplitz.T + states @ see.T).ravel()
     if full < n:
         tail, z = run_ba(b, a, x[full:], z, n - full)

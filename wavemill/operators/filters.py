@@ -104,40 +104,59 @@ def _recursive(sig: Signal, f: Recursion, init: str | np.ndarray, both: bool, bl
             vectors = (pa.array([v.tolist() for v in c], pa.list_(pa.float64())) for c in (z, back))
             yield pa.RecordBatch.from_arrays([*(t.column(k) for k in [*keys, "b"]), pa.array(n, pa.int64()), pa.array(first, pa.float64()), pa.array(last, pa.float64()), *vectors], [*keys, "b", "n", "first", "last", "z", "back"])
 
-    def chain(t: pa.Table) -> pa.Table:
-        order = np.argsort(t["b"].to_numpy())
-        n, first, last = (t[c].to_numpy()[order] for c in ("n", "first", "last"))
-        z, back = (np.array(t[c].to_pylist(), float).reshape(len(order), m)[order] for c in ("z", "back"))
-        free = {k: f.free(k) for k in set(n.tolist())}
-        turned = {k: np.stack([f.run(y[::-1], np.zeros(m))[1] for y in free[k][0]], 1) if both and m else np.zeros((m, m)) for k in free}
-        start, end = np.zeros((len(n), m)), np.zeros((len(n), m))
-        state = given + steady * first[0]
-        for k in range(len(n)):
+    free: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    turned: dict[int, np.ndarray] = {}
+
+    def chained(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """States that a key's blocks begin with on the way there and back, and the one that the way there ends in."""
+        for n in {r["n"] for r in rows} - free.keys():
+            free[n] = f.free(n)
+            turned[n] = np.stack([f.run(y[::-1], np.zeros(m))[1] for y in free[n][0]], 1) if both and m else np.zeros((m, m))
+        start, end = np.zeros((len(rows), m)), np.zeros((len(rows), m))
+        state = given + steady * rows[0]["first"]
+        for k, r in enumerate(rows):
             start[k] = state
-            state = free[n[k]][1] @ state + z[k]
+            state = free[r["n"]][1] @ state + np.array(r["z"], float)
         after = state
         if both:
-            k = len(n) - 1
-            state = steady * (last[k] + free[n[k]][0][:, -1] @ start[k])
-            for k in range(len(n) - 1, -1, -1):
+            state = steady * (rows[-1]["last"] + free[rows[-1]["n"]][0][:, -1] @ start[-1])
+            for k in range(len(rows) - 1, -1, -1):
+                n = rows[k]["n"]
                 end[k] = state
-                state = free[n[k]][1] @ state + back[k] + turned[n[k]] @ start[k]
-        cols = [t[c].combine_chunks().take(pa.array(order)) for c in keys]
-        lists = (pa.array([list(v) for v in c], pa.list_(pa.float64())) for c in (start, end, [after] * len(n)))
-        return pa.table([*cols, pa.array(t["b"].to_numpy()[order]), *lists], [*keys, "b", "z", "back", "after"])
+                state = free[n][1] @ state + np.array(rows[k]["back"], float) + turned[n] @ start[k]
+        return start, end, after
+
+    def chain(batches):
+        for t in batches:
+            which, b, z, back, after = [], [], [], [], []
+            for r, rows in enumerate(t.column("s").to_pylist()):
+                start, end, last = chained(rows)
+                which += [r] * len(rows)
+                b += [x["b"] for x in rows]
+                z += start.tolist()
+                back += end.tolist()
+                after += [last.tolist()] * len(rows)
+            lists = (pa.array(c, pa.list_(pa.float64())) for c in (z, back, after))
+            yield pa.RecordBatch.from_arrays([*(t.column(k).take(pa.array(which, pa.int64())) for k in keys), pa.array(b, pa.int64()), *lists], [*keys, "b", "z", "back", "after"])
 
     small = blocks.mapInArrow(ends, f"{key_fields(sig)}, b bigint, n bigint, first double, last double, z {numbers}, back {numbers}")
-    states = small.groupBy(*keys).applyInArrow(chain, f"{key_fields(sig)}, b bigint, z {numbers}, back {numbers}, after {numbers}")
+    by_key = small.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("b", "n", "first", "last", "z", "back"))).alias("s"))  # a small row for each block
+    states = by_key.mapInArrow(chain, f"{key_fields(sig)}, b bigint, z {numbers}, back {numbers}, after {numbers}")
 
     def run(batches):
         for t in batches:
-            for r in range(t.num_rows):
-                x = t.column("x")[r].values.to_numpy()
-                y, _ = f.run(x, np.array(t.column("z")[r].as_py(), float))
-                if both:
-                    y = f.run(y[::-1], np.array(t.column("back")[r].as_py(), float))[0][::-1]
-                which = pa.array(np.full(len(y), r))
-                yield pa.RecordBatch.from_arrays([*(t.column(k).take(which) for k in keys), pa.array(t.column("start")[r].as_py() + np.arange(len(y))), pa.array(np.ascontiguousarray(y))], [*keys, "idx", "value"])
+            ys, held = [], 0
+            z, back, first = (t.column(c).to_pylist() for c in ("z", "back", "start"))
+            for r, x in enumerate(t.column("x")):
+                y, _ = f.run(x.values.to_numpy(), np.array(z[r], float))
+                ys.append(f.run(y[::-1], np.array(back[r], float))[0][::-1] if both else y)
+                held += len(y)
+                if held >= block or r == t.num_rows - 1:
+                    rows = np.arange(r + 1 - len(ys), r + 1)
+                    which = pa.array(np.repeat(rows, [len(y) for y in ys]))
+                    idx = np.concatenate([first[k] + np.arange(len(y)) for k, y in zip(rows, ys, strict=True)])
+                    yield pa.RecordBatch.from_arrays([*(t.column(k).take(which) for k in keys), pa.array(idx), pa.array(np.concatenate(ys))], [*keys, "idx", "value"])
+                    ys, held = [], 0
 
     x = blocks.join(states.drop("after"), [*keys, "b"])
     out = sig.with_df(x.mapInArrow(run, key_fields(sig) + ", idx bigint, value double"))
