@@ -190,14 +190,6 @@ def test_mixing(docs, budget, leaves, monkeypatch):
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.fixture(scope="module")
-def tokenizer():
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-
-
 def test_mix_query(spark, tokenizer):
     """The registered query, its tokens by the tokenizer itself."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()

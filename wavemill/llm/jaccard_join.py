@@ -398,7 +398,7 @@ def _proposed(groups: DataFrame, info: DataFrame, what: str, percent: int, acros
     of them, or only their `members` (a = b). `across`: chunks of large groups meet pairwise, else each by itself. `groups`:
     (gid, sid, label), `info`: (sid, n, bits)."""
     forest = what == "forest"
-    x = groups.join(_open(groups), "gid")
+    x = groups.join(saved(_open(groups)), "gid")  # saved, so that a large group's rows can be split among tasks
     own = F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int")
     # chunk i meets chunk j in unit (gid, i, j); groups of one chunk share units
     units = max(1, groups.count() // UNIT)

@@ -1,29 +1,16 @@
-"""What several operators need from Spark: the shared folder, gapless row numbers, and connected components."""
+"""What several operators need from Spark besides the shared folder: small Arrow batches and connected components."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import clear_of, dropped, numbered, saved, shared_dir, shared_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset and all is on one machine (tests)
-    a new temporary one is set; on a cluster that is an error."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        if not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("spark.checkpoint.dir is unset; it has to name a folder that driver and executors share")
-        at = tempfile.mkdtemp(prefix="checkpoint-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(at)
-    return at
+__all__ = ["batches_of", "clear_of", "components", "dropped", "numbered", "saved", "shared_dir", "shared_path"]
 
 
 @contextmanager
@@ -38,45 +25,6 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The rows as they are now, in the shared folder, without their lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def clear_of(df: DataFrame, *names: str) -> list[str]:
-    """Names for helper columns that clash with none of the frame's."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for n in names:
-        while n.lower() in taken:
-            n = f"_{n}"
-        taken.add(n.lower())
-        out.append(n)
-    return out
-
-
-def numbered(df: DataFrame, order: list[Column], name: str, parts: int | None = None) -> DataFrame:
-    """Adds the row's place (from 0) in the given order. The frame should be narrow: it is range-partitioned, sorted and
-    written once. No task sees more than its range; rows equal in all of `order` get neighbouring places in any order."""
-    spark = df.sparkSession
-    uid, part, pos, base, n = clear_of(df, "uid", "part", "pos", "base", "n")
-    tagged = df.withColumn(uid, F.monotonically_increasing_id())  # splits equal rows among ranges
-    keys = [*order, F.col(uid)]
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = tagged.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop(uid)
-    at = F.monotonically_increasing_id()
-    ranged = saved(ranged.withColumn(part, F.shiftright(at, 33)).withColumn(pos, at.bitwiseAND(F.lit((1 << 33) - 1))))
-    counts = ranged.groupBy(part).agg(F.count("*").alias(n))  # a row for each partition
-    before = counts.withColumn(base, F.sum(n).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select(part, F.coalesce(base, F.lit(0)).alias(base))
-    return ranged.join(F.broadcast(before), part).withColumn(name, (F.col(base) + F.col(pos)).cast("long")).drop(part, pos, base)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of edges (a, b): label is the smallest node it is connected with.
 
@@ -88,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
     last = None
     while True:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # saved, so that the rows of a node with very many neighbours can be split among tasks where they are joined
+        low = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
         # small star: each node's smaller neighbours are linked to the smallest of them
         low2 = large.groupBy("b").agg(F.min("a").alias("m"))
