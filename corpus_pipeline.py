@@ -1,4 +1,9 @@
-"""A corpus pipeline of the llm operators: run(spark, sf_dir) applies STAGES to the documents in turn."""
+"""A corpus pipeline of the llm operators: run(spark, sf_dir) applies STAGES to the documents in turn.
+
+Every stage takes the columns of documents by name and ignores others, whatever they are called; all but the last return
+them. An empty table gives an empty one. Rows are told apart by their places, not their ids: ids may be null or repeated, rows
+may be repeated whole, and any column may be null. A text may be as long as a row can be.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +12,14 @@ from pyspark.sql import functions as F
 
 from wavemill.llm import jaccard_join, langid, packing, tokens
 from wavemill.llm.queries import mixed
-from wavemill.llm.shared import shared_path
+from wavemill.llm.shared import dropped, shared_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a recognisable language; the model learns from the labelled ones that aren't held out."""
+    """Keeps documents in a recognisable language; the model learns from the labelled ones that aren't held out. Null texts and
+    those without a letter go, and all if no language was learned; repeated rows stay or go together."""
     model = langid.train(docs.where(langid.fold(F.col("doc_id")) != 0))
     out = langid.identify(docs, model, list(COLUMNS))
     return out.where(F.col("lang_pred") != langid.NO_LANGUAGE).select(*COLUMNS)
@@ -40,7 +46,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of at most 2048 tokens."""
+    """Packs the documents into sequences of at most 2048 tokens. Copies that the mixture made are documents of their own: equal
+    pieces in places of their own, which nothing else tells apart."""
     return packing.pack_documents(docs)
 
 
@@ -50,11 +57,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. Tables of stages are dropped once the next stage is written, but for the one that it reads."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
         out.write.parquet(at := shared_path(spark, f"stage-{k}"))
         docs = spark.read.schema(out.schema).parquet(at)
+        if before:
+            dropped(spark, before)
+        before = at
     return docs
