@@ -687,11 +687,20 @@ def test_bound_binds(spark):
     assert closed > 100 and bins.next <= 1.03 * sum(lengths) / 2048 + packing.OPEN_BINS
 
 
-def test_word_tokenizer_is_exact(tokenizer):
+@pytest.mark.parametrize("most", [1_000_000, 6, 30])
+def test_word_tokenizer_is_exact(tokenizer, most, monkeypatch):
+    """Also where it forgets words all the time."""
     import pyarrow as pa
 
+    monkeypatch.setattr(tokens, "MOST_WORDS", most)
+
     tok = tokens.WordTokenizer(__import__("public_tokenizers").path("word_bpe_49k.json"))
     texts = ["éa.b Don't DON'T 'tis rock'n'roll it's's", "ÜnÏ×a÷b 12ab34 x—y <|endoftext|> a.b,c!?", "é. é ́a ﬁ İstanbul ΣΑΣ ς", " x y　z 日本語テキスト。 naïve", "a" * 5000, "".join(map(chr, range(32, 1200))), "<|endoftext|>", "don<|startoftext|>'t<|endoftext|><|endoftext|>", "é<|endoftext|>\u0301 a<|end", "oftext|>"]
+    for _ in range(3):
+        for t in texts:
+            one, ends = tok.encode(*kernels.utf8(pa.array([t, t])))
+            ids = tokenizer.encode(t, add_special_tokens=False).ids
+            assert one.tolist() == 2 * ids and tok.encode(*kernels.utf8(pa.array([t, t])), False)[1].tolist() == ends.tolist() == [0, len(ids), 2 * len(ids)]
     got, at = tok.encode(*kernels.utf8(pa.array([*texts, None, ""])))
     for k, t in enumerate(texts):
         assert got[at[k] : at[k + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t[:40]
@@ -768,3 +777,53 @@ def test_numbered(spark):
     got = shared.numbered(df, [F.col("part")], "place", 5).collect()
     assert [r.part for r in sorted(got, key=lambda r: r.place)] == sorted(r.part for r in got)
     assert sorted(r.place for r in got) == list(range(1000))
+
+
+def test_very_long_text(spark, tokenizer):
+    """One text of 12 MB among short ones, through every operator of texts: whole, and like the pure functions."""
+    rng = random.Random(12)
+    base = prose(rng, 40_000)
+    long = " ".join([base] * 60 + ["the end"])
+    assert len(long.encode()) > 9_000_000
+    rows = [(1, long, "en", "src0"), (2, base, "en", "src0"), (3, "short", "fr", "src1"), (4, None, None, None), (5, long + " x", "en", "src1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(2)
+    n_words = len(split(long))
+    scores = {r.doc_id: r for r in lm_score.score_documents(docs).collect()}
+    assert scores[1].n_words == n_words and scores[5].n_words == n_words + 1
+    sizes = {r.doc_id: r.size for r in shard.feistel_shard(docs, 3).collect()}
+    assert sizes[1] == len(long.encode()) + 8
+    model = langid.train(docs)
+    assert {r.doc_id: r.lang_pred for r in langid.identify(docs, model, ["doc_id"]).collect()}[1] == "en"
+    prints = {r.doc_id: r for r in winnow.compare_edited(docs, 8, 16).collect()}
+    assert prints[1].n_chars == len(long) and prints[1].fingerprint == winnow.encode(*winnow.winnow(winnow.code_points(long), 8, 16))
+    pieces = defaultdict(int)
+    for r in packing.pack_documents(docs).collect():
+        pieces[r.doc_id] += r.length
+    n_ids = len(tokenizer.encode(long, add_special_tokens=False).ids)
+    assert pieces[1] == n_ids + 1 and pieces[4] == 1
+    assert {r.doc_id: r.n for r in tokens.with_token_counts(docs, "n").collect()}[1] == n_ids
+    found = {r.doc_id: r for r in jaccard_join.jaccard_components(docs).collect()}
+    w = split(long)
+    assert found[1].n_shingles == len(set(zip(*(w[k:] for k in range(5))))) and found[5].component_id == 1 and found[4].n_shingles == 0
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+@pytest.mark.parametrize("min_count", [1, 2])
+def test_lm_orders(docs, empty, order, min_count):
+    """N-gram tables of any order; with two words they agree with the packed bigrams."""
+    rows = [(r.doc_id, split(r.text)) for r in docs.collect()]
+    counts = Counter(tuple(w[i : i + k]) for _, w in rows for k in range(1, order + 1) for i in range(len(w) - k + 1))
+    total = sum(c for g, c in counts.items() if len(g) == 1)
+
+    def score(g):
+        if len(g) == 1:
+            return math.log(counts[g] / total)
+        return math.log(counts[g] / counts[g[:-1]]) if counts[g] >= min_count else math.log(0.4) + score(g[1:])
+
+    want = [(i, len(w), round(sum(score(tuple(w[max(0, k - order + 1) : k + 1])) for k in range(len(w))), 6)) for i, w in rows]
+    got = lm_score.score_documents(docs, min_count=min_count, order=order, tables=True).collect()
+    assert bag((r.doc_id, r.n_words, round(r.log_score, 6) + 0.0) for r in got) == bag((i, n, s + 0.0) for i, n, s in want)
+    if order == 2:
+        packed = lm_score.score_documents(docs, min_count=min_count).collect()
+        assert bag((r.doc_id, r.n_words, round(r.log_score, 5) + 0.0) for r in got) == bag((r.doc_id, r.n_words, round(r.log_score, 5) + 0.0) for r in packed)
+    assert lm_score.score_documents(empty, order=order, tables=True).collect() == []

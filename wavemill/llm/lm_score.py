@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import lean, lean_group, mix, words
+from .ngram_tables import scored
 from .shared import saved
 
 #: Words whose counts every task holds at most (16 bits each, 1 MB in all), and words of the dense table (2 MB).
@@ -105,7 +106,7 @@ def _bigrams(v: Vocabulary, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
     return w, first, row
 
 
-def score_documents(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, vocabulary_size: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, vocabulary_size: int | None = None, id_col: str = "doc_id", text_col: str = "text", order: int = 2, tables: bool = False) -> DataFrame:
     """(doc_id, n_words, log_score, per_word) of every row of `docs`.
 
     Null and empty texts have no words: log_score 0, per_word null. Null and repeated ids are documents of their own, and
@@ -113,7 +114,15 @@ def score_documents(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, v
     since every bigram of the corpus is counted. With a vocabulary size, words beyond it are one unknown word. A text may be
     as long as a row can be. `docs` is read four times and has to give the same rows in the same order each time, as files
     and checkpoints do: a piece of texts is known by its place.
+
+    `order` is the longest n-gram's number of words. Bigrams are packed as described above, unless `tables` is asked for; any
+    other order has a table for each length of n-grams (ngram_tables.py), some 30 bytes for each distinct n-gram and row.
     """
+    if order != 2 or tables:
+        if vocabulary_size is not None or order < 1:
+            raise ValueError("tables hold n-grams of 1 word or more, and every word")
+        out = scored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), order, backoff, min_count)
+        return out.withColumn("per_word", F.expr("log_score / nullif(n_words, 0)"))
     if vocabulary_size is not None and vocabulary_size > VOCABULARY:
         raise ValueError(f"a vocabulary of more than {VOCABULARY} words")
     spark = docs.sparkSession
