@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from .kernels import lean, pieces, prefix_hash, span_hash, utf8
 
-#: Words whose ids a worker keeps (some 20 MB); beyond, it starts anew.
-MOST_WORDS = 400_000
+#: Words whose ids a worker keeps (some 40 MB). Beyond, those seen in one piece of texts only are forgotten.
+MOST_WORDS = 1_000_000
 
 
 _LETTERS = np.zeros(256, bool)
@@ -46,8 +46,17 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
+        self.known, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.used, self.pool = np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+
+    def _forget(self) -> None:
+        keep = np.flatnonzero(self.used > 1)
+        if len(keep) > MOST_WORDS // 2:
+            keep = keep[:0]
+        n = self.n[keep].astype(np.int64)
+        ends = np.cumsum(n)
+        self.pool = self.pool[np.repeat(self.at[keep] - (ends - n), n) + np.arange(int(n.sum()))]
+        self.known, self.at, self.n, self.used = self.known[keep], ends - n, self.n[keep], np.ones(len(keep), np.uint8)
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, one after the other, and how many each has."""
@@ -66,8 +75,9 @@ class WordTokenizer:
         counts[:] = [len(x) for x in ids]
         return np.concatenate(ids) if ids else np.zeros(0, np.uint32), counts
 
-    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts (bytes and offsets as of kernels.utf8), and where each text's begin."""
+    def encode(self, data: np.ndarray, off: np.ndarray, with_ids: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (bytes and offsets as of kernels.utf8), and where each text's begin. Without ids, only where they
+        would begin."""
         raw = data.tobytes()
         found = []
         for mark, i in self.marks:
@@ -77,18 +87,18 @@ class WordTokenizer:
                     found.append((at, at + len(mark), i))
                 at = raw.find(mark, at + 1)
         if not found:
-            return self._words(data, off)
+            return self._words(data, off, with_ids)
         # what stands before and after a mark is encoded on its own
         start, end, ids = (np.array(x, np.int64) for x in zip(*sorted(found), strict=True))
         cuts = np.unique(np.concatenate((off, start, end)))
         data = data.copy()
         for a, b in zip(start, end, strict=True):
             data[a:b] = 0x20
-        got, before = self._words(data, cuts)
-        out = np.insert(got, before[np.searchsorted(cuts, start)], ids)
+        got, before = self._words(data, cuts, with_ids)
+        out = np.insert(got, before[np.searchsorted(cuts, start)], ids) if with_ids else got
         return out, before[np.searchsorted(cuts, off)] + np.searchsorted(start, off)
 
-    def _words(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _words(self, data: np.ndarray, off: np.ndarray, with_ids: bool) -> tuple[np.ndarray, np.ndarray]:
         n = len(data)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
@@ -113,18 +123,25 @@ class WordTokenizer:
         new[inside] = self.known[pos[inside]] != u[inside]
         if new.any():
             if len(self.known) + int(new.sum()) > MOST_WORDS and len(self.known):
-                self.clear()
-                pos, new = np.zeros(len(u), np.int64), np.ones(len(u), bool)
+                self._forget()
+                pos = np.searchsorted(self.known, u)
+                inside = pos < len(self.known)
+                new = np.ones(len(u), bool)
+                new[inside] = self.known[pos[inside]] != u[inside]
             ids, counts = self._encode([data[start[k] : end[k]].tobytes() for k in where[new]])
             ends = np.cumsum(counts)
             self.at = np.insert(self.at, pos[new], len(self.pool) + ends - counts)
-            self.n = np.insert(self.n, pos[new], counts)
+            self.n = np.insert(self.n, pos[new], counts.astype(np.int32))
+            self.used = np.insert(self.used, pos[new], np.uint8(0))
             self.known = np.insert(self.known, pos[new], u[new])
             self.pool = np.concatenate((self.pool, ids))
             pos = np.searchsorted(self.known, u)
+        self.used[pos] = np.minimum(self.used[pos], 250) + 1
         slot = pos[inv]
-        n_ids = self.n[slot]
+        n_ids = self.n[slot].astype(np.int64)
         ends = np.cumsum(n_ids)
+        if not with_ids:
+            return np.zeros(0, np.uint32), np.concatenate(([0], ends))[np.searchsorted(start, off)]
         total = int(ends[-1]) if len(ends) else 0
         gather = np.repeat(self.at[slot] - (ends - n_ids), n_ids) + np.arange(total)
         before = np.concatenate(([0], ends))[np.searchsorted(start, off)]
@@ -154,7 +171,7 @@ def with_token_counts(docs: DataFrame, name: str, tokenizer_path: str | None = N
         tok = word_tokenizer(tokenizer_path)
         for b in batches:
             data, off = utf8(b.column(at))
-            n = [np.diff(tok.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])[1]) for i, j in pieces(off)]
+            n = [np.diff(tok.encode(data[off[i] : off[j]], off[i : j + 1] - off[i], False)[1]) for i, j in pieces(off)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(n) if n else [], pa.int64())], [*b.schema.names, name])
 
     return docs.mapInArrow(lean(run), schema)
