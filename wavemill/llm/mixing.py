@@ -101,9 +101,17 @@ def mix(docs: DataFrame, budget: int | float, domain: Column, tokens: Column, we
 
     y = y.join(small(shares.where("rest > 0").select(*leaf, "whole", "rest")), leaf).withColumn("key", key(F.col("whole"), F.col("id")))
     y = y.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
-    sums = y.groupBy(*leaf, "rest", "bucket").agg(F.sum("tok").alias("t"))  # 16**BUCKET_DIGITS rows a leaf at most
-    before = F.coalesce(F.sum("t").over(Window.partitionBy(*leaf).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = saved(sums.withColumn("before", before).where("before < rest and before + t >= rest").select(*leaf, "bucket", "before"))
+    # the bucket in which a leaf's share ends: first by one digit, then by the others within it
+    sums = saved(y.groupBy(*leaf, "rest", "bucket").agg(F.sum("tok").alias("t")))  # 16**BUCKET_DIGITS rows a leaf at most
+    digit = F.substring("bucket", 1, 1)
+
+    def ends(t: DataFrame, by: str, start) -> DataFrame:
+        before = F.coalesce(F.sum("t").over(Window.partitionBy(*leaf).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + start
+        return t.withColumn("before", before).where("before < rest and before + t >= rest").select(*leaf, by, "before")
+
+    coarse = saved(ends(sums.groupBy(*leaf, "rest", digit.alias("digit")).agg(F.sum("t").alias("t")), "digit", F.lit(0)))
+    fine = sums.withColumn("digit", digit).join(small(coarse.withColumnRenamed("before", "start")), [*leaf, "digit"])
+    edge = saved(ends(fine, "bucket", F.col("start")))
     inside = y.join(small(edge), [*leaf, "bucket"])
     tied = inside.groupBy(*leaf, "rest", "before", "key").agg(F.sum("tok").alias("t"))
     run = F.coalesce(F.sum("t").over(Window.partitionBy(*leaf).orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
