@@ -175,10 +175,15 @@ def confidence_interval(spectrum: DataFrame, n_estimates: int, alpha: float = 0.
 
 
 def spectrogram_db(z: DataFrame, freqs: tuple[float, float] | None = None, times: tuple[float, float] | None = None) -> DataFrame:
-    """10 log10(|X|² + 1) of a short-time transform, of the bins within `freqs` and the segments within `times` (both ends included)."""
-    for c, within in (("freq", freqs), ("t", times)):
-        if within is not None:
-            z = z.where(F.col(c).between(*map(float, within)))
+    """10 log10(|X|² + 1) of a short-time transform; of the bins nearest to the ends of `freqs` and those between, and of the
+    segments from the one nearest to the first of `times` up to, but without, the one nearest to the second."""
+    asked = {c: v for c, v in (("freq", freqs), ("t", times)) if v is not None}
+    if asked:
+        ends = z.agg(*(F.min_by(c, F.struct(F.abs(F.col(c) - float(x)), F.col(c))) for c, v in asked.items() for x in v)).first()
+        for k, c in enumerate(asked):
+            lo, hi = ends[2 * k], ends[2 * k + 1]
+            if lo is not None:
+                z = z.where((F.col(c) >= lo) & (F.col(c) <= hi if c == "freq" else F.col(c) < hi))
     p = F.col("re") * F.col("re") + F.col("im") * F.col("im")
     return z.withColumn("db", 10 * F.log10(p + 1)).drop("re", "im")
 

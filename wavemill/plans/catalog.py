@@ -233,7 +233,7 @@ query("fir_response", f"with {_H} select round(freq, 6) as freq, round(gain, 6)
 
 def iir_sql(sos, both=False) -> str:
     """A cascade by recursion over the samples, the state in transposed direct form II; zero-phase with steady-state starts."""
-    parts, src = [US, LEN.replace("len as", "len as")], "ev"
+    parts, src = [US, LEN], "ev"
     zi = cf.steady(sos) if both else [(0.0, 0.0)] * len(sos)
     for turn in range(2 if both else 1):
         parts.append(f"x{turn} as (select ch, " + ("idx" if not turn else "n - 1 - idx as idx") + f", value from {src}" + (" join len using (ch)" if turn else "") + ")")
@@ -320,6 +320,8 @@ query("psd_spectrum_scaling", psd_sql(50, 0.3, scaling="spectrum", win="blackman
 query("periodogram", f"with {segments_sql(32, 0.5)} select ch, seg::bigint as seg, k::int as k, k * {FS / 32!r}::double as freq, round(p, 3) + 0.0 as p from p")(lambda s, d: spectra.periodograms(ev(s, d), 32).select("ch", "seg", "k", "freq", _r("p", 3)))
 _STFT = segments_sql(32, 0.5)
 query("stft", f"with {_STFT} select ch, seg::bigint as seg, (16 + seg * 16) / 100.0::double as t, k::int as k, k * {FS / 32!r}::double as freq, round(re, 3) + 0.0 as re, round(im, 3) + 0.0 as im from f")(lambda s, d: spectra.stft(ev(s, d), nfft=32, boundary=False, padded=False).select("ch", "seg", "t", "k", "freq", _r("re", 3), _r("im", 3)))
+_PADDED = f"{EV}, {LEN}, pad as (select ch, n + 32 + case when (n + 32) % 16 <> 0 then 16 else 0 end as n, n as n0 from len), w as (select j, {cf.window_sql('hann', 'j', '32.0')} as w from (select unnest(range(0, 32)) as j)), cells as (select ch, s as seg, j, w from (select ch, unnest(range(0, (n - 32) // 16 + 1)) as s from pad) x cross join w), raw as (select cells.ch, seg, j, coalesce(ev.value, 0) as v, w from cells left join ev on ev.ch = cells.ch and ev.idx = seg * 16 + j - 16), seg as (select ch, seg, j, (v - avg(v) over s) * w as v from raw window s as (partition by ch, seg)), norm as (select sqrt(1 / ({FS} * sum(w * w))) as a from w)"
+query("stft_padded", f"with {_PADDED} select ch, seg::bigint as seg, seg * 16 / 100.0::double as t, k::int as k, round(any_value(a) * sum(v * cos(2 * pi() * k * j / 32)), 3) + 0.0 as re, round(-any_value(a) * sum(v * sin(2 * pi() * k * j / 32)), 3) + 0.0 as im from seg, norm, (select unnest(range(0, 17)) as k) group by ch, seg, k")(lambda s, d: spectra.stft(ev(s, d), nfft=32).select("ch", "seg", "t", "k", _r("re", 3), _r("im", 3)))
 query("spectrogram_db", f"with {_STFT} select ch, seg::bigint as seg, k::int as k, round(10 * log10(re * re + im * im + 1), 4) + 0.0 as db from f")(lambda s, d: spectra.spectrogram_db(spectra.stft(ev(s, d), nfft=32, boundary=False, padded=False)).select("ch", "seg", "k", _r("db")))
 _W = [w * FS / 64 for w in cf.SIMPSON_14]  # bins 3 .. 16
 _BAND = f"{segments_sql(64, 0.5)}, psd as (select ch, k, avg(p) as psd from p group by ch, k), bw(i, bw) as (values {rows(_W)}), pw as (select ch, sum(psd * bw) as power from psd join bw on k = i + 3 group by ch)"
@@ -327,7 +329,8 @@ query("band_power_simpson", f"with {_BAND} select ch, round(power, 3) as power f
 query("power_norm", f"with {_BAND} select ch, k::int as k, round(psd / power, 6) + 0.0 as psd from psd join pw using (ch)")(lambda s, d: spectra.power_norm(spectra.psd(ev(s, d), nfft=64), ["ch"], 5, 25).select("ch", "k", _r("psd", 6)))
 query("psd_confidence_interval", f"with {_BAND} select ch, k::int as k, round(psd * 10 / 20.483177350807388, 3) + 0.0 as ci_low, round(psd * 10 / 3.2469727802368404, 3) + 0.0 as ci_high from psd")(lambda s, d: spectra.confidence_interval(spectra.psd(ev(s, d), nfft=64), 10).select("ch", "k", _r("ci_low", 3), _r("ci_high", 3)))
 
-query("spectrogram_slice", f"with {_STFT} select ch, seg::bigint as seg, k::int as k, round(10 * log10(re * re + im * im + 1), 4) + 0.0 as db from f where k * {FS / 32!r} between 10 and 30 and (16 + seg * 16) / 100.0 between 0.5 and 9")(lambda s, d: spectra.spectrogram_db(spectra.stft(ev(s, d), nfft=32, boundary=False, padded=False), (10, 30), (0.5, 9)).select("ch", "seg", "k", _r("db")))
+_GRID = f"g as (select distinct k * {FS / 32!r}::double as freq, (16 + seg * 16) / 100.0::double as t from f), e as (select arg_min(freq, (abs(freq - 10), freq)) as f0, arg_min(freq, (abs(freq - 30), freq)) as f1, arg_min(t, (abs(t - 0.5), t)) as t0, arg_min(t, (abs(t - 9), t)) as t1 from g)"
+query("spectrogram_slice", f"with {_STFT}, {_GRID} select ch, seg::bigint as seg, k::int as k, round(10 * log10(re * re + im * im + 1), 4) + 0.0 as db from f, e where k * {FS / 32!r} between f0 and f1 and (16 + seg * 16) / 100.0::double >= t0 and (16 + seg * 16) / 100.0::double < t1")(lambda s, d: spectra.spectrogram_db(spectra.stft(ev(s, d), nfft=32, boundary=False, padded=False), (10, 30), (0.5, 9)).select("ch", "seg", "k", _r("db")))
 query("banded_psd", f"with {_BAND}, b(band, lo, hi) as (values ('low', 4, 12), ('mid', 10, 30)) select ch, band, k::int as k, round(psd, 3) + 0.0 as psd from psd join b on k * {FS / 64!r} between lo and hi")(lambda s, d: spectra.banded(spectra.psd(ev(s, d), nfft=64), {"low": (4, 12), "mid": (10, 30)}).select("ch", "band", "k", _r("psd", 3)))
 
 # coupling
