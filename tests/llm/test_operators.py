@@ -455,6 +455,35 @@ def test_chat_table(spark):
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in by[r.conv_id]).encode()).hexdigest()
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.format_records(chat.records_of_turns(none))).collect() == []
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit(1))
+    assert bag(chat.read_back_turns(chat.format_turns(table), in_order=True).collect()) == bag(got)
+    assert chat.read_back_turns(chat.format_turns(none)).collect() == []
+
+
+def test_chat_streams(spark):
+    """A long conversation among short ones, over many batches, and its parts put in order again."""
+    rng = random.Random(9)
+    rows = [(5, t, rng.choice(["user", "assistant", None]), rng.choice([*TRICKY, None, "x" * 50])) for t in range(700)]
+    rows += [(c, t, "assistant" if t % 2 else "user", rng.choice(TRICKY)) for c in range(20) if c != 5 for t in range(4)]
+    rng.shuffle(rows)
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    with shared.batches_of(spark, 16):
+        parts = chat.format_turns(turns)
+        one = chat.read_back_turns(parts, in_order=True).collect()
+        two = chat.read_back_turns(parts.repartition(5)).collect()
+        whole = {}
+        for r in parts.collect():
+            whole.setdefault(r.conv_id, {})[r.seq] = r
+    assert bag(one) == bag(two) and len(one) == 20
+    for r in one:
+        mine = [x for x in rows if x[0] == r.conv_id]
+        turns_ = [(x[2] or "", x[3] or "") for x in sorted(mine, key=lambda x: x[1])]
+        text, spans = chat.render(turns_)
+        got = [whole[r.conv_id][k] for k in range(len(turns_))]
+        assert "".join(x.formatted for x in got) == text and [(x.start, x.stop) for x in got if x.start is not None] == spans
+        said = "".join(t for role, t in turns_ if role == "assistant")
+        assert (r.n_turns, r.loss_chars, r.formatted_chars) == (len(turns_), len(said), len(text)) and chat.parse(text) == turns_
+        assert r.loss_sha256 == hashlib.sha256(said.encode()).hexdigest() and r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns_).encode()).hexdigest()
 
 
 # op 7

@@ -91,7 +91,7 @@ class Layouts:
 
     A mapping is a list of steps: {"role": r, "path": "a.b"} takes one text as a turn of role r, skipping it when absent
     ("optional": True); {"each": "messages", "role": "role", "text": "content", "names": {...}} takes a turn of every item,
-    renaming roles. A layout is registered by an example record for each of its shapes. A record of another fingerprint (more
+    renaming roles; {"own": True, "role": "role", "text": "content"} takes the record itself as a turn. A layout is registered by an example record for each of its shapes. A record of another fingerprint (more
     fields, say) is mapped by the first registered mapping whose required paths it has, those with most of them first; one
     that none fits is kept whole, as a single turn of role `record`.
     """
@@ -126,7 +126,9 @@ class Layouts:
             return [("record", _text(record))], False
         out = []
         for s in steps:
-            if "each" in s:
+            if "own" in s:
+                out.append((_text(_at(record, s["role"])), _text(_at(record, s["text"]))))
+            elif "each" in s:
                 for item in _at(record, s["each"]) or []:
                     role = _text(_at(item, s["role"]))
                     out.append((s.get("names", {}).get(role, role), _text(_at(item, s["text"]))))
@@ -136,6 +138,8 @@ class Layouts:
 
 
 def _required(step: dict) -> list[str]:
+    if "own" in step:
+        return [step["role"], step["text"]]
     return [f"{step['each']}[].{step[k]}" for k in ("role", "text")] if "each" in step else [step["path"]]
 
 
@@ -166,6 +170,7 @@ def common_layouts() -> Layouts:
         .register([turn("user", "prompt"), turn("assistant", "completion")], {"prompt": "x", "completion": "y"})
         .register([turn("system", "system", optional=True), turn("user", "instruction"), turn("user", "input", optional=True), turn("assistant", "output")], {"system": "s", "instruction": "x", "output": "y"}, {"instruction": "x", "output": "y"}, {"instruction": "x", "input": "i", "output": "y"})
         .register([turn("user", "question"), turn("assistant", "answer")], {"question": "x", "answer": "y"})
+        .register([{"own": True, "role": "role", "text": "content"}], m, {"role": "user"}, {"content": "x"}, {})
     )
 
 
@@ -243,3 +248,82 @@ def records_of_turns(turns: DataFrame) -> DataFrame:
     text = [F.expr(f"get(m, {k}).content") for k in range(3)]
     record = F.when(pair, F.to_json(F.struct(text[0].alias("prompt"), text[1].alias("response")))).when(three, F.to_json(F.struct(text[0].alias("system"), text[1].alias("instruction"), text[2].alias("output")))).otherwise(messages)
     return g.select("conv_id", record.alias("record"))
+
+
+TURNS = "conv_id long, seq long, layout string, mapped boolean, formatted string, start long, stop long"
+
+
+def format_turns(turns: DataFrame, layouts: Layouts | None = None) -> DataFrame:
+    """conv_id, seq (from 0), layout, mapped, formatted, start, stop of rows (conv_id, turn, role, text), each a record of a
+    message's layout: the parts of each conversation's formatted text in order, and where its loss mask covers a part
+    (code points from the conversation's beginning; null where it doesn't).
+
+    Turns come by turn number (nulls first), then role and text; a null role or text is empty; rows of a null conv_id are one
+    conversation; repeated rows are turns of their own; an empty table gives no rows; further columns are ignored. Rows go to
+    tasks by conversation and stream through them in order: a conversation of any length takes the memory of a batch. A
+    digest of it has to be taken in order, so one conversation is never dealt to several tasks.
+    """
+    layouts = layouts or common_layouts()
+    record = F.to_json(F.struct("role", F.col("text").alias("content")))
+    x = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
+    order = ["conv_id", "turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))]
+    x = x.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", record.alias("record"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict = {}
+        now, seq, at = object(), 0, 0
+        for b in batches:
+            rows = []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if i != now:
+                    now, seq, at = i, 0, 0
+                record = json.loads(text)
+                layout, (own, mapped) = fingerprint(record), layouts.turns(record, seen)
+                for turn in own:
+                    done, loss = render([turn])
+                    span = (at + loss[0][0], at + loss[0][1]) if loss else (None, None)
+                    rows.append((i, seq, layout, mapped, done, *span))
+                    seq, at = seq + 1, at + len(done)
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [f.split()[0] for f in TURNS.split(", ")])
+
+    return x.mapInArrow(lean(run), TURNS)
+
+
+def read_back_turns(parts: DataFrame, in_order: bool = False) -> DataFrame:
+    """The digests of read_back() for conversations in parts (conv_id, seq, formatted, start, stop), taken part by part from
+    what is formatted and under the mask alone. `in_order`: the parts come from format_turns() as they are."""
+    x = parts if in_order else parts.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None  # (conv_id, turns, their digest, masked characters, their digest, characters)
+
+        def told(x):
+            return x[0], x[1], x[2].hexdigest(), x[3], x[4].hexdigest(), x[5]
+
+        def batch(rows):
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+        for b in batches:
+            rows = []
+            for i, text, start, stop in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if now is None or now[0] != i:
+                    if now is not None:
+                        rows.append(told(now))
+                    now = [i, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                for role, said in parse(text):
+                    now[1] += 1
+                    now[2].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+                if start is not None:
+                    said = unescape(text[start - now[5] : stop - now[5]])
+                    now[3] += len(said)
+                    now[4].update(said.encode("utf-8", "surrogatepass"))
+                now[5] += len(text)
+            yield batch(rows)
+        if now is not None:
+            yield batch([told(now)])
+
+    return x.select("conv_id", "formatted", "start", "stop").mapInArrow(lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -80,11 +80,11 @@ def op5_token_rollup(spark, sf_dir):
 
 
 def op6_chat(spark, sf_dir):
-    """Digests of all conversations and conversation -7, read back from their formatted texts."""
+    """Digests of all conversations and conversation -7, read back from their formatted texts part by part."""
     own = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.read_back(chat.format_records(chat.records_of_turns(turns)))
+    return chat.read_back_turns(chat.format_turns(turns), in_order=True)
 
 
 def op7_winnow(spark, sf_dir):
