@@ -40,13 +40,15 @@ def test_layouts(spark, sig, x):
         normalize_axis(2, 2)
 
 
-@pytest.mark.parametrize("kind", ["int", "nulls", "timestamp", "string", "double"])
-@pytest.mark.parametrize("bucket", [7, 65_536])
+@pytest.mark.parametrize("kind", ["int", "sparse", "nulls", "timestamp", "string", "double"])
+@pytest.mark.parametrize("bucket", [7, None])
 def test_rows_are_numbered(spark, kind, bucket):
     """By whole numbers and times in buckets, by anything else in ranges; null keys are a channel of their own."""
     rng = np.random.default_rng(2)
     order = rng.permutation(500)
-    made = {"int": "n", "nulls": "if(n < 40, null, n)", "timestamp": "timestamp_micros(n * 1000003)", "string": "lpad(n, 5, '0')", "double": "n / 7.0D"}[kind]
+    if bucket and kind == "timestamp":
+        bucket *= 1_000_003
+    made = {"int": "n - 250", "sparse": "n * 18000000000000000L - 4500000000000000000L", "nulls": "if(n < 40, null, n)", "timestamp": "timestamp_micros(n * 1000003)", "string": "lpad(n, 5, '0')", "double": "n / 7.0D"}[kind]
     rows = [(None if n % 5 == 4 else f"c{n % 5}", int(n), float(n)) for n in order]
     df = spark.createDataFrame(rows, "ch string, n int, value double").selectExpr("ch", f"{made} as at", "value").repartition(3)
     got = from_rows(df, "ch", "at", "value", bucket=bucket).df.collect()

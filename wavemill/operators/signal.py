@@ -46,26 +46,25 @@ def from_chunks(chunks: DataFrame, keys=("ch",), fs: float = 1.0) -> Signal:
     return Signal(long.select(*keys, (F.col("start") + F.col("pos")).alias("idx"), "value"), tuple(keys), fs)
 
 
-def from_rows(df: DataFrame, keys, order, value, fs: float = 1.0, bucket: int = BLOCK) -> Signal:
+def from_rows(df: DataFrame, keys, order, value, fs: float = 1.0, bucket: int | None = None) -> Signal:
     """Numbers the rows of each key in an order (ties in any order).
 
-    Where the order is a whole number or a time, rows are ranked within buckets of it, and buckets are counted first: whole
-    numbers in buckets of `bucket`, times in as many buckets as give about that many rows (one look at their range). No task
-    sorts more than a bucket of a channel. Nulls come first. Any other order is numbered by ranges of (keys, order), which are
-    written once.
+    Where the order is a whole number or a time (in microseconds), rows are ranked within buckets of it, `bucket` wide, and
+    buckets are counted first; without a width, one look at the range of the order gives one for about BLOCK rows. So no task
+    sorts a whole channel. Nulls come first. Any other order is numbered by ranges of (keys, order), which are written once.
     """
     keys = [keys] if isinstance(keys, (str, Column)) else list(keys)
     names = [k if isinstance(k, str) else f"k{i}" for i, k in enumerate(keys)]
     by = order if isinstance(order, Column) else F.col(order)
     x = df.select(*[F.col(k) if isinstance(k, str) else k.alias(n) for k, n in zip(keys, names, strict=True)], by.alias("_order"), (value if isinstance(value, Column) else F.col(value)).cast("double").alias("value"))
     kind = x.schema["_order"].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        micros = F.unix_micros(F.col("_order").cast("timestamp"))
-        low, high, n = x.agg(F.min(micros), F.max(micros), F.count("*")).first()
-        width = max(1, -(-((high or 0) - (low or 0) + 1) * bucket // max(1, n)))
-        at = F.floor((micros - F.lit(low or 0)) / width)
-    elif isinstance(kind, T.IntegralType):
-        at = F.expr(f"_order div {bucket}")
+    time = isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType))
+    if time or isinstance(kind, T.IntegralType):
+        number = F.unix_micros(F.col("_order").cast("timestamp")) if time else F.col("_order").cast("long")
+        if bucket is None:
+            low, high, n = x.agg(F.min(number), F.max(number), F.count("*")).first()
+            bucket = min(1 << 62, max(1, -(-((high or 0) - (low or 0) + 1) * BLOCK // max(1, n))))
+        at = F.floor(number / bucket) if time else F.expr(f"cast(_order as long) div {bucket}L")
     else:
         at = None
     if at is None:

@@ -16,7 +16,7 @@ from ..functions import fir_design as fd
 from ..functions import iir_design as idn
 from ..operators import algebra, coupling, filters, responses, shape, spectra
 from ..operators.pipeline import Pipeline
-from ..operators.signal import Signal, from_chunks, from_function, from_rows, map_blocks
+from ..operators.signal import BLOCK, Signal, from_chunks, from_function, from_rows, map_blocks
 from ..sources import annotations as ann
 from ..store import shared_path
 from ..streaming import stateful
@@ -30,11 +30,12 @@ def events(spark, d):
 
 
 def ev(spark, d) -> Signal:
-    return from_rows(events(spark, d).select(F.col("event_type").alias("ch"), "event_id", "value"), "ch", "event_id", "value", FS)
+    """event_id has no gaps over all events, so a bucket of it holds as many rows as it is wide at most."""
+    return from_rows(events(spark, d).select(F.col("event_type").alias("ch"), "event_id", "value"), "ch", "event_id", "value", FS, BLOCK)
 
 
 def users(spark, d) -> Signal:
-    return from_rows(events(spark, d).select(F.col("user_id").alias("ch"), "event_id", "value"), "ch", "event_id", "value", FS)
+    return from_rows(events(spark, d).select(F.col("user_id").alias("ch"), "event_id", "value"), "ch", "event_id", "value", FS, BLOCK)
 
 
 def whole(spark, d) -> Signal:
