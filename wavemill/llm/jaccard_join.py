@@ -72,6 +72,11 @@ def bitmap(s: np.ndarray, per: int = COARSE) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def _step(words: int) -> int:
+    """Pairs of bitmaps of so many words that are compared at once: 8 MB of each side."""
+    return max(64, min(1 << 14, (1 << 20) // max(1, words)))
+
+
 def _fold(b: np.ndarray, words: int) -> np.ndarray:
     while b.shape[1] > words:
         b = b[:, : b.shape[1] // 2] | b[:, b.shape[1] // 2 :]
@@ -102,8 +107,9 @@ def traverse(sizes: np.ndarray, bits: np.ndarray, labels: np.ndarray, percent: i
     def survive(v: _Level, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         # the larger of a linked pair has at most 100/percent times the smaller's size
         ok = (v.high[a] * 100 >= v.low[b] * percent) & (v.high[b] * 100 >= v.low[a] * percent) & ~(v.same[a] & v.same[b] & (v.label[a] == v.label[b]))
-        for i in range(0, len(a), 1 << 14):
-            k = np.flatnonzero(ok[i : i + (1 << 14)]) + i
+        step = _step(v.bits.shape[1])
+        for i in range(0, len(a), step):
+            k = np.flatnonzero(ok[i : i + step]) + i
             most = np.bitwise_count(v.bits[a[k]] & v.bits[b[k]]).sum(1) + np.minimum(v.excess[a[k]], v.excess[b[k]])
             ok[k] = most * (100 + percent) >= (v.low[a[k]] + v.low[b[k]]) * percent
         return ok
@@ -208,8 +214,9 @@ def unit_pairs(gid: np.ndarray, ids: np.ndarray, sizes: np.ndarray, bits: list[n
         folded = _fold(tables[w], v)
         full = np.bitwise_count(tables[v]).sum(1), np.bitwise_count(folded).sum(1)
         pick = np.flatnonzero((width[x] == v) & (width[y] == w))
-        for i in range(0, len(pick), 1 << 14):
-            k = pick[i : i + (1 << 14)]
+        step = _step(v)
+        for i in range(0, len(pick), step):
+            k = pick[i : i + step]
             p, q = place[x[k]], place[y[k]]
             more = np.minimum(sizes[x[k]] - full[0][p], sizes[y[k]] - full[1][q])
             most = np.bitwise_count(tables[v][p] & folded[q]).sum(1) + more
@@ -462,7 +469,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         label = components(links)
     out = rows.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     lone = F.col("n") == 0
-    smallest = out.where(~lone).groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    # saved, so that the rows of a large component can be split among tasks
+    smallest = saved(out.where(~lone).groupBy("label").agg(F.min("doc_id").alias("component_id")))
     some = out.where(~lone).join(smallest, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return some.unionByName(out.where(lone).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
