@@ -32,7 +32,7 @@ from .shared import saved
 #: Words whose counts every task holds at most (16 bits each, 1 MB in all), and words of the dense table (2 MB).
 VOCABULARY, HEAD = 65_535, 512
 #: Occurrences that a part has on average; a part is one task's work.
-PART = 5_000_000
+PART = 2_000_000
 #: An occurrence of a rare word: its hash and the bigram's, the other word's number, its place in the bigram (0: a text's first word), the row's place.
 RARE = np.dtype([("word", "<u8"), ("gram", "<u8"), ("other", "<u2"), ("side", "u1"), ("place", "<i4")])
 SECOND, FIRST = 1, 2
@@ -245,16 +245,18 @@ def score_documents(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, v
         (places and sums). The pieces' own rows pass through."""
         keys, ids = t["key"].to_pylist(), t["ids"].to_pylist()
         own, tells = [i is not None for i in ids], [k < 0 for k in keys]
-        xs, ys, zs = t["x"].to_pylist(), t["y"].to_pylist(), t["z"].to_pylist()
+        xs, ys, zs = ([None if v is None else v.as_buffer() for v in t[c]] for c in ("x", "y", "z"))  # without copies
         some = [k for k in range(len(keys)) if not own[k] and not tells[k]]
         s, rare_s = np.zeros(0), np.zeros(0)
         if some:
             u, at, c = np.unique(np.concatenate([np.frombuffer(xs[k], np.uint32) for k in some]), return_inverse=True, return_counts=True)
             s = log_scores((u >> np.uint32(16)).astype(np.int64), (u & np.uint32(0xFFFF)).astype(np.int64), c)[at]
+            del u, at, c
             rec = np.concatenate([np.frombuffer(zs[k], RARE) for k in some])
             if len(rec):
                 h, n = (np.concatenate([np.frombuffer(x[k], kind) for k in range(len(keys)) if tells[k]]) for x, kind in ((xs, np.uint64), (ys, np.int64)))
                 rare_s = rare_scores(rec, h, n)
+            del rec
         done = rare_done = 0
         for k in some:
             r, z = np.frombuffer(ys[k], np.int32), np.frombuffer(zs[k], RARE)["place"]
@@ -262,6 +264,7 @@ def score_documents(docs: DataFrame, backoff: float = 0.4, min_count: int = 2, v
             xs[k], ys[k] = places.tobytes(), np.bincount(to, np.concatenate([s[done : done + len(r)], rare_s[rare_done : rare_done + len(z)]]), len(places)).tobytes()
             done, rare_done = done + len(r), rare_done + len(z)
         keep = [k for k in range(len(keys)) if not tells[k]]
+        xs, ys = ([None if v is None else v if isinstance(v, bytes) else v.to_pybytes() for v in f] for f in (xs, ys))
         return pa.table([pa.array([f[k] for k in keep], kind) for f, kind in ((keys, pa.int64()), (ids, pa.list_(pa.int64())), (xs, pa.binary()), (ys, pa.binary()))], ["key", "ids", "x", "y"])
 
     def add_up(t: pa.Table) -> pa.Table:
