@@ -44,6 +44,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low2, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("x"))
         e = saved(small.select("x.a", "x.b").where("a < b").distinct())
         state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        edges.sparkSession.sparkContext._jvm.System.gc()  # past rounds' shuffle files go when the driver collects its garbage
         if state == last:
             break
         last = state
